@@ -1,0 +1 @@
+"""Operators for building training corpora.  Nothing outside this folder imports it."""
