@@ -10,6 +10,7 @@ from guardloom.llm.chat import format_chats
 from guardloom.llm.common import table
 from guardloom.llm.mixing import plan_mix
 from guardloom.llm.oracle import SQL
+from guardloom.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +23,12 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def queries() -> dict[str, Query]:
-    found = (op2_mix, op3_chat)
+    found = (op2_mix, op3_chat, op4_pack)
     return {f.__name__: f for f in found}
 
 
