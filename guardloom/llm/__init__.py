@@ -1 +1,8 @@
 """Operators for building training corpora.  Nothing outside this folder imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with what they use, so no executor needs this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -11,6 +11,7 @@ from guardloom.llm.common import table
 from guardloom.llm.mixing import plan_mix
 from guardloom.llm.oracle import SQL
 from guardloom.llm.packing import pack
+from guardloom.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +28,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op2_mix, op3_chat, op4_pack)
+    found = (op2_mix, op3_chat, op4_pack, op7_simhash)
     return {f.__name__: f for f in found}
 
 
