@@ -52,4 +52,16 @@ SELECT k.conv_id, k.n_turns::INTEGER AS n_turns, k.n_copies, string_agg(c.said,
 FROM kept k JOIN coded c USING (conv_id) GROUP BY ALL
 """
 
-SQL = {"op2_mix": _MIX, "op3_chat": _CHAT}
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+SQL = {"op1_topk": _TOPK, "op2_mix": _MIX, "op3_chat": _CHAT}

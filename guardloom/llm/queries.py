@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from guardloom.llm.ann import nearest
 from guardloom.llm.chat import format_chats
 from guardloom.llm.common import table
 from guardloom.llm.mixing import plan_mix
 from guardloom.llm.oracle import SQL
 from guardloom.llm.packing import pack
 from guardloom.llm.simhash import near_duplicates
+from guardloom.llm.topk import exact_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +35,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def queries() -> dict[str, Query]:
-    found = (op2_mix, op3_chat, op4_pack, op7_simhash)
+    found = (op1_topk, op2_mix, op3_chat, op4_pack, op7_simhash, op8_ann)
     return {f.__name__: f for f in found}
 
 
