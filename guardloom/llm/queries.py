@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guardloom.llm.ann import nearest
 from guardloom.llm.chat import format_chats
 from guardloom.llm.common import table
+from guardloom.llm.html_text import extract
 from guardloom.llm.mixing import plan_mix
 from guardloom.llm.oracle import SQL
 from guardloom.llm.packing import pack
@@ -43,8 +44,12 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_topk, op2_mix, op3_chat, op4_pack, op7_simhash, op8_ann)
+    found = (op1_topk, op2_mix, op3_chat, op4_pack, op7_simhash, op8_ann, op10_html)
     return {f.__name__: f for f in found}
 
 
