@@ -14,6 +14,7 @@ from guardloom.llm.html_text import extract
 from guardloom.llm.mixing import plan_mix
 from guardloom.llm.oracle import SQL
 from guardloom.llm.packing import pack
+from guardloom.llm.quality import fit_quality, score_quality
 from guardloom.llm.simhash import near_duplicates
 from guardloom.llm.topk import exact_top_k
 
@@ -44,12 +45,17 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_topk, op2_mix, op3_chat, op4_pack, op7_simhash, op8_ann, op10_html)
+    found = (op1_topk, op2_mix, op3_chat, op4_pack, op7_simhash, op8_ann, op9_quality, op10_html)
     return {f.__name__: f for f in found}
 
 
