@@ -17,6 +17,7 @@ from guardloom.llm.packing import pack
 from guardloom.llm.quality import fit_quality, score_quality
 from guardloom.llm.simhash import near_duplicates
 from guardloom.llm.topk import exact_top_k
+from guardloom.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,11 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +61,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_topk, op2_mix, op3_chat, op4_pack, op7_simhash, op8_ann, op9_quality, op10_html)
+    found = (op1_topk, op2_mix, op3_chat, op4_pack, op6_toxicity, op7_simhash, op8_ann, op9_quality, op10_html)
     return {f.__name__: f for f in found}
 
 
