@@ -39,7 +39,8 @@ def source_targets(
     get ``share`` of all sizes; none gets more than ``max_epochs`` times its own, and
     what it cannot take goes to the others by weight.  The level at which that comes
     to rest is found in closed form: by rising cap per weight, the first source whose
-    share of what is left fits under its cap sets the level for all after it.
+    share of what is left fits under its cap sets the level for all after it (shares
+    computed further on only fall, so it is the largest share that fits).
 
     One row per source: the windows here hold the sources, never the rows.
     """
@@ -54,7 +55,7 @@ def source_targets(
     left = F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     levelled = weighed.withColumn("level", left / heavy)
-    rest = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    rest = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     target = F.least(F.col("cap"), F.coalesce(F.col("weight") * rest, F.col("cap")))
     return levelled.withColumn("target", target).select("source", "source_size", "target")
 

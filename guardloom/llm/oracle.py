@@ -19,7 +19,7 @@ levels AS (
   FROM ratios
   WINDOW before AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, least(cap, coalesce(weight * min(CASE WHEN level <= ratio THEN level END) OVER (), cap)) AS target
+  SELECT source, source_size, least(cap, coalesce(weight * max(CASE WHEN level <= ratio THEN level END) OVER (), cap)) AS target
   FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
