@@ -5,8 +5,6 @@ that rise from grade to grade cut the score: P(grade <= g) = sigmoid(threshold_g
 That gives each text an expected grade and a tail probability to select by.
 """
 
-from __future__ import annotations
-
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -22,6 +20,8 @@ BUCKETS = 1024
 SAMPLE_ROWS = 6000
 STEPS = 400
 PENALTY = 1e-4
+#: Probability of the highest grade from which a document is kept.
+KEEP_FROM = 0.5
 
 _SHAPE = bytes(
     ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else ord("a") if 97 <= b <= 122 or b >= 128 else b
@@ -138,26 +138,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     return fit(x, got["label"].to_numpy())
 
 
-def score_quality(docs: DataFrame, model: CumulativeLink, least_grade: int | None = None, keep_from: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, expected_grade, p_tail, keep for every row of ``docs``, and the columns in ``carry``.
-
-    p_tail: the probability of ``least_grade`` (the highest) or more; keep: p_tail >= ``keep_from``.
-    Null texts count as empty ones; rows are scored one by one, so repeated rows repeat.
-    """
+def quality_column(model: CumulativeLink, text: Column, least_grade: int | None = None) -> Column:
+    """A column (expected_grade, p_tail) for a column of texts; only the texts go to Python."""
     grade = model.grades[-1] if least_grade is None else least_grade
     buckets = len(model.weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t.as_py(), buckets) for t in batch.column("text")], dtype=np.float32).reshape(-1, buckets)
-            tail = model.tail(x, grade)
-            arrays = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
-            more = {"expected_grade": model.expected(x), "p_tail": tail, "keep": tail >= keep_from}
-            if "__text" in names:
-                names[names.index("__text")] = "text"
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(v) for v in more.values()], names + list(more))
-
-    need = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).alias("__text" if c == "text" else c) for c in carry if c != "doc_id"])
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *[c for c in carry if c != "doc_id"]])
-    return need.mapInArrow(run, f"{kept}, expected_grade double, p_tail double, keep boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = np.array([features(t.as_py(), buckets) for t in texts], dtype=np.float32).reshape(-1, buckets)
+            yield pa.StructArray.from_arrays([pa.array(model.expected(x)), pa.array(model.tail(x, grade))], ["expected_grade", "p_tail"])
+
+    return F.arrow_udf(run, "expected_grade double, p_tail double")(text.cast("string"))
+
+
+def score_quality(docs: DataFrame, model: CumulativeLink, least_grade: int | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """doc_id, expected_grade, p_tail, keep for every row of ``docs``.
+
+    ``docs`` needs doc_id and text; other columns are ignored.  p_tail: the probability of
+    ``least_grade`` (the highest) or more; keep: p_tail >= ``keep_from``.  Null texts count as
+    empty ones; rows are scored one by one, so repeated rows repeat.
+    """
+    scored = docs.select("doc_id", quality_column(model, F.col("text"), least_grade).alias("q"))
+    return scored.select("doc_id", "q.expected_grade", "q.p_tail", (F.col("q.p_tail") >= keep_from).alias("keep"))

@@ -13,14 +13,12 @@ and emits the edges of a spanning forest.  Cells beyond ``HOT_CELL`` members are
 on and compared chunk against chunk in tasks of their own.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardloom.llm.common import materialise
@@ -55,16 +53,15 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > len(grams), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long).  Null texts count as empty."""
+def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
+    """A column of fingerprints (their bits as a signed long); null texts count as empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = np.array([fingerprint(x.as_py(), shingle_words) for x in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            got = np.array([fingerprint(x.as_py(), shingle_words) for x in texts], dtype=np.uint64)
+            yield pa.array(got.view(np.int64))
 
-    need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return need.mapInArrow(run, "doc_id long, fp long")
+    return F.arrow_udf(run, "long")(text.cast("string"))
 
 
 def _signed(x: int) -> int:
@@ -203,6 +200,17 @@ def links(fps: DataFrame, radius: int = RADIUS, hot_cell: int = HOT_CELL) -> Dat
     return edges.distinct()
 
 
+def classes(marked: DataFrame, radius: int = RADIUS, hot_cell: int = HOT_CELL) -> DataFrame:
+    """(doc_id, fp) of all rows -> fp, root, component_id: one row for each fingerprint.
+
+    root: the class's own number, never null; component_id: its smallest doc_id."""
+    fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    roots = connected_components(links(fps.select("fp"), radius, hot_cell))
+    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, hot_cell: int = HOT_CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``.
 
@@ -211,10 +219,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
     that can be reached over links, null if all of them are null.  Repeated rows are
     repeated in the result.
     """
-    marked = materialise(fingerprints(docs, shingle_words), "simhash-fps")
-    fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = connected_components(links(fps.select("fp"), radius, hot_cell))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), shingle_words).alias("fp"))
+    marked = materialise(marked, "simhash-fps")
+    joined = marked.join(classes(marked, radius, hot_cell), "fp")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, hot_cell: int = HOT_CELL) -> DataFrame:
+    """The rows of ``docs``, with its columns, of which one of each class is left: the one with
+    the smallest doc_id (of rows with equal ids, or without one, the one with the smallest text)."""
+    names = docs.columns
+    wide = docs.select("*", fingerprint_column(F.col("text"), shingle_words).alias("__fp"))
+    marked = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), shingle_words).alias("fp")), "simhash-fps")
+    found = classes(marked, radius, hot_cell).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"))
+    found = materialise(found, "simhash-classes")
+    first = wide.join(found, "__fp").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__least")))
+    ids = marked.join(found, marked["fp"] == found["__fp"]).where("doc_id <=> __least")
+    if ids.groupBy("__root").count().where("count > 1").isEmpty():
+        return first.select(*names)
+    line = Window.partitionBy("__root").orderBy("text", *[c for c in names if c != "text"])
+    return first.withColumn("__n", F.row_number().over(line)).where("__n = 1").select(*names)

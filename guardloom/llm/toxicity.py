@@ -7,8 +7,6 @@ words have one reading, themselves.  A logistic regression on words and word beg
 of the restored text gives the score.
 """
 
-from __future__ import annotations
-
 import math
 import re
 from collections import Counter
@@ -17,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardloom.llm.common import materialise
@@ -63,7 +61,7 @@ class CharModel:
     zero: Counter = field(default_factory=Counter)
     known: dict = field(default_factory=dict)
 
-    def learn(self, words: Counter) -> CharModel:
+    def learn(self, words: Counter) -> "CharModel":
         for word, n in words.items():
             marked = f"^^{word}$"
             for i in range(2, len(marked)):
@@ -313,6 +311,17 @@ def _common_words(rows: DataFrame, most: int = 20_000) -> Counter:
     return Counter({r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(most).collect()})
 
 
+def toxicity_column(model: ToxicityModel, text: Column) -> Column:
+    """A column of scores for a column of texts; only the texts go to Python."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = model.scorer()
+        for texts in batches:
+            yield pa.array([score(x.as_py()) for x in texts], pa.float64())
+
+    return F.arrow_udf(run, "double")(text.cast("string"))
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, predict_from: float = PREDICT_FROM) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
@@ -320,15 +329,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, predict_from: float =
     as text mod 4 is 2 (null for a null id).  Null and empty texts get the score of a text
     without words; rows are scored one by one, so repeated rows repeat.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.scorer()
-        for batch in batches:
-            got = [score(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
-
-    need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return need.mapInArrow(run, "doc_id long, score double").select(
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), toxicity_column(model, F.col("text")).alias("score"))
+    return scored.select(
         "doc_id",
         (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"),
         "score",
