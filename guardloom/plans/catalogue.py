@@ -5,13 +5,239 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from guardloom.functions import scoring as S
+from guardloom.functions.rules import CREDENTIALS, INBOUND, PERSONAL
+from guardloom.operators import inbound, judge, outbound
+from guardloom.operators.outbound import PrivacyConfig
+from guardloom.plans import analytics, sql, tool_queries
+from guardloom.plans.fixtures import INBOUND_PAYLOADS, NAMES, OUTBOUND_PAYLOADS, with_payload
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+RAW_DOCS = "SELECT doc_id AS id, text, 'public' AS surface FROM documents"
+IN_DOCS = sql.payload_rows("documents", "doc_id", INBOUND_PAYLOADS)
+OUT_DOCS = sql.payload_rows("documents", "doc_id", OUTBOUND_PAYLOADS)
+PAGES = "SELECT page_id AS id, html AS text, 'web-page' AS surface FROM pages"
+TURN_KEY = "(conv_id * 1000 + turn)"
+IN_TURNS = sql.payload_rows(f"(SELECT {TURN_KEY} AS id, text FROM conversations WHERE role = 'user')", "id", INBOUND_PAYLOADS)
+OUT_TURNS = sql.payload_rows(f"(SELECT {TURN_KEY} AS id, text FROM conversations WHERE role = 'assistant')", "id", OUTBOUND_PAYLOADS)
+ENTROPY = PrivacyConfig(check_high_entropy=True, categories=())
+NAMED = PrivacyConfig(protected_names=NAMES)
+NARROW = ("financial", "health")
+DISABLED = ("CRED_007", "CRED_002")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw_docs(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("public").alias("surface"))
+
+
+def in_docs(spark, d):
+    return with_payload(read(spark, d, "documents"), "doc_id", INBOUND_PAYLOADS)
+
+
+def out_docs(spark, d):
+    return with_payload(read(spark, d, "documents"), "doc_id", OUTBOUND_PAYLOADS)
+
+
+def pages(spark, d):
+    return read(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"), F.lit("web-page").alias("surface"))
+
+
+def turns(spark, d, role, payloads):
+    rows = read(spark, d, "conversations").where(F.col("role") == role)
+    return with_payload(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text"), "key", payloads)
+
+
+def joined(column: str):
+    return F.array_join(column, ",")
+
+
+def types_text():
+    return joined("threat_types").alias("types")
+
+
+def rules_text():
+    return joined("matched_rules").alias("rules")
+
+
+_Q: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql_text: str | None):
+    def add(f: Query) -> Query:
+        _Q[f.__name__] = (f, sql_text)
+        return f
+
+    return add
+
+
+@query(f"SELECT threat_level, count(*) AS n, round(avg(risk_score), 6) AS mean_risk FROM ({sql.outbound(RAW_DOCS)}) GROUP BY 1")
+def outbound_level_histogram(spark, d):
+    checked = outbound.check_outbound(raw_docs(spark, d))
+    return checked.groupBy("threat_level").agg(F.count("*").alias("n"), F.round(F.avg("risk_score"), 6).alias("mean_risk"))
+
+
+@query(f"SELECT id, rules, types FROM ({sql.outbound(RAW_DOCS, credentials=False)})")
+def outbound_pii_flags(spark, d):
+    return outbound.check_outbound(raw_docs(spark, d), config=PrivacyConfig(check_credentials=False)).select("id", rules_text(), types_text())
+
+
+@query(f"SELECT id, rules, types, risk_score FROM ({sql.outbound(OUT_DOCS, categories=())})")
+def outbound_credential_flags(spark, d):
+    return outbound.check_outbound(out_docs(spark, d), config=PrivacyConfig(categories=())).select("id", rules_text(), types_text(), "risk_score")
+
+
+@query(f"SELECT id, rules, threat_level FROM ({sql.outbound(OUT_DOCS, disabled=DISABLED)})")
+def outbound_disabled_rules(spark, d):
+    return outbound.check_outbound(out_docs(spark, d), config=PrivacyConfig(disabled_rules=DISABLED)).select("id", rules_text(), "threat_level")
+
+
+@query(f"SELECT id, rules, risk_score FROM ({sql.outbound(OUT_DOCS, categories=NARROW)})")
+def outbound_category_filter(spark, d):
+    return outbound.check_outbound(out_docs(spark, d), config=PrivacyConfig(categories=NARROW)).select("id", rules_text(), "risk_score")
+
+
+@query(f"SELECT id, rules, risk_score, threat_level FROM ({sql.outbound(OUT_TURNS, names=NAMES)})")
+def outbound_protected_names(spark, d):
+    checked = outbound.check_outbound(turns(spark, d, "assistant", OUTBOUND_PAYLOADS), config=NAMED)
+    return checked.select("id", rules_text(), "risk_score", "threat_level")
+
+
+@query(
+    f"""SELECT surface, CASE WHEN raw_score < 0.45e0 THEN 'SAFE' WHEN raw_score >= 0.9e0 THEN 'BLOCK' ELSE 'WARN' END AS status,
+        count(*) AS n, sum(CASE WHEN is_safe THEN 1 ELSE 0 END)::BIGINT AS safe FROM ({sql.outbound(OUT_DOCS)}) GROUP BY ALL"""
+)
+def outbound_status_by_surface(spark, d):
+    checked = outbound.check_outbound(out_docs(spark, d))
+    word = S.status(F.col("threat_level"), S.OUTBOUND_WORDS).alias("status")
+    return checked.groupBy("surface", word).agg(F.count("*").alias("n"), F.sum(F.col("is_safe").cast("long")).alias("safe"))
+
+
+@query(f"SELECT id, {sql.redacted(names=NAMES)} AS redacted FROM ({OUT_DOCS})")
+def outbound_redact(spark, d):
+    return out_docs(spark, d).select("id", outbound.redact(F.col("text"), NAMED).alias("redacted"))
+
+
+@query(f"SELECT id, threat_level, sanitized FROM ({sql.sanitized(OUT_DOCS, names=NAMES)})")
+def outbound_sanitize(spark, d):
+    return outbound.sanitize(out_docs(spark, d), config=NAMED).select("id", "threat_level", "sanitized")
+
+
+@query(f"SELECT id, len({sql.entropy_runs()})::INTEGER AS runs, coalesce(list_max(list_transform({sql.entropy_runs()}, lambda r: length(r))), 0)::INTEGER AS longest FROM ({OUT_DOCS})")
+def outbound_high_entropy(spark, d):
+    rows = out_docs(spark, d).withColumn("found", S.once(outbound.high_entropy_runs(F.col("text"))))
+    longest = F.coalesce(F.array_max(F.transform("found", F.length)), F.lit(0))
+    return rows.select("id", F.size("found").alias("runs"), longest.alias("longest"))
+
+
+@query(f"SELECT id, rules, risk_score FROM ({sql.outbound(OUT_DOCS, categories=(), entropy=True)})")
+def outbound_entropy_check(spark, d):
+    return outbound.check_outbound(out_docs(spark, d), config=ENTROPY).select("id", rules_text(), "risk_score")
+
+
+@query(f"SELECT id, f.label AS rule, f.type AS type, f.score AS score FROM (SELECT id, unnest(findings) AS f FROM ({sql.inbound(IN_DOCS)}))")
+def inbound_rule_hits(spark, d):
+    checked = inbound.check_inbound(in_docs(spark, d)).select("id", F.explode("findings").alias("f"))
+    return checked.select("id", F.col("f.label").alias("rule"), F.col("f.type").alias("type"), F.col("f.score").alias("score"))
+
+
+@query(f"SELECT id, threat_level, raw_score, risk_score, blocked, is_safe, types, rules FROM ({sql.inbound(IN_DOCS)})")
+def inbound_check(spark, d):
+    checked = inbound.check_inbound(in_docs(spark, d))
+    return checked.select("id", "threat_level", "raw_score", "risk_score", "blocked", "is_safe", types_text(), rules_text())
+
+
+@query(f"SELECT id, threat_level, risk_score, rules FROM ({sql.inbound(PAGES)})")
+def inbound_check_pages(spark, d):
+    return inbound.check_inbound(pages(spark, d)).select("id", "threat_level", "risk_score", rules_text())
+
+
+@query(f"SELECT id, round({sql.homoglyph()}, 9) AS score FROM ({IN_DOCS})")
+def inbound_homoglyph(spark, d):
+    return in_docs(spark, d).select("id", F.round(inbound.homoglyph_score(F.col("text")), 9).alias("score"))
+
+
+@query(
+    f"""SELECT r.id, coalesce(array_to_string(list_transform(l.found, lambda x: x.label), ','), '') AS found,
+        coalesce(list_max(list_transform(l.found, lambda x: x.score)), 0e0) AS score FROM ({IN_DOCS}) r LEFT JOIN ({sql.lines_cte(IN_DOCS)}) l USING (id)"""
+)
+def inbound_markdown_scan(spark, d):
+    rows = in_docs(spark, d).withColumn("f", S.once(inbound.markdown_findings(F.col("text"))))
+    labels = F.array_join(F.transform("f", lambda x: x["label"]), ",")
+    return rows.select("id", labels.alias("found"), S.raw_score(F.col("f")).alias("score"))
+
+
+@query(f"SELECT id, CASE threat_level WHEN 'clean' THEN 'SAFE' WHEN 'low' THEN 'LOW' WHEN 'medium' THEN 'MEDIUM' ELSE 'HIGH' END AS status, risk_score, blocked FROM ({sql.inbound(IN_TURNS)})")
+def inbound_status_dict(spark, d):
+    checked = inbound.check_inbound(turns(spark, d, "user", INBOUND_PAYLOADS))
+    return checked.select("id", S.status(F.col("threat_level"), S.INBOUND_WORDS).alias("status"), "risk_score", "blocked")
+
+
+@query(f"SELECT id, CASE threat_level WHEN 'clean' THEN 'LOW' WHEN 'low' THEN 'LOW' WHEN 'medium' THEN 'MEDIUM' ELSE 'HIGH' END AS status, rules FROM ({sql.inbound(IN_TURNS)})")
+def inbound_status_tuple(spark, d):
+    checked = inbound.check_inbound(turns(spark, d, "user", INBOUND_PAYLOADS))
+    return checked.select("id", S.status(F.col("threat_level"), S.INBOUND_SHORT).alias("status"), rules_text())
+
+
+@query(f"SELECT id, CASE WHEN is_safe THEN 'SAFE' WHEN blocked THEN 'BLOCK' ELSE 'WARN' END AS status, CASE WHEN NOT is_safe THEN sanitized END AS redacted, risk_score FROM ({sql.sanitized(OUT_TURNS)})")
+def outbound_status_dict(spark, d):
+    out = outbound.sanitize(turns(spark, d, "assistant", OUTBOUND_PAYLOADS))
+    word = S.status(F.col("threat_level"), S.OUTBOUND_WORDS).alias("status")
+    return out.select("id", word, F.when(~F.col("is_safe"), F.col("sanitized")).alias("redacted"), "risk_score")
+
+
+@query(f"SELECT id, explanation FROM ({sql.inbound(IN_DOCS)})")
+def inbound_explanation(spark, d):
+    return inbound.check_inbound(in_docs(spark, d)).select("id", "explanation")
+
+
+@query(f"SELECT id, risk_score FROM ({sql.inbound(IN_DOCS)}) WHERE NOT blank AND risk_score >= 0.35e0 AND risk_score < 0.9e0")
+def judge_escalation_set(spark, d):
+    return inbound.check_inbound(in_docs(spark, d)).where("needs_judge").select("id", "risk_score")
+
+
+_VERDICTS = "SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'high' WHEN quality = 0 THEN 'odd' ELSE 'clean' END AS j_level, CASE WHEN toxic = 1 THEN 0.8e0 WHEN quality = 0 THEN 0.5e0 ELSE 0.1e0 END AS j_score FROM labels"
+
+
+@query(
+    f"""SELECT id, CASE WHEN used THEN CASE j_level WHEN 'odd' THEN 'medium' ELSE j_level END ELSE threat_level END AS threat_level,
+        CASE WHEN used THEN j_score ELSE risk_score END AS risk_score, used AS judge_used
+        FROM (SELECT *, NOT blank AND risk_score >= 0.35e0 AND risk_score < 0.9e0 AND j_score IS NOT NULL AS used FROM ({sql.inbound(IN_DOCS)}) LEFT JOIN ({_VERDICTS}) USING (id))"""
+)
+def judge_merge(spark, d):
+    toxic, poor = F.col("toxic") == 1, F.col("quality") == 0
+    verdicts = read(spark, d, "labels").select(
+        F.col("doc_id").alias("id"),
+        F.when(toxic, "high").when(poor, "odd").otherwise("clean").alias("j_level"),
+        F.when(toxic, 0.8).when(poor, 0.5).otherwise(0.1).alias("j_score"),
+        F.array(F.lit("social_engineering")).alias("j_types"),
+    )
+    merged = judge.merge(inbound.check_inbound(in_docs(spark, d)), verdicts, "id")
+    return merged.select("id", "threat_level", "risk_score", "judge_used")
+
+
+_RULE_ROWS = ", ".join(f"({sql.q(r.id)}, {sql.q(r.type)}, {r.base}e0)" for r in (*INBOUND, *PERSONAL, *CREDENTIALS))
+
+
+@query(f"SELECT type, count(*) AS rules, max(base) AS most, round(avg(base), 6) AS mean FROM (VALUES {_RULE_ROWS}) AS t(id, type, base) GROUP BY type")
+def rule_catalogue(spark, d):
+    rows = [(r.id, r.type, r.base) for r in (*INBOUND, *PERSONAL, *CREDENTIALS)]
+    rules = spark.createDataFrame(rows, "id string, type string, base double")
+    return rules.groupBy("type").agg(F.count("*").alias("rules"), F.max("base").alias("most"), F.round(F.avg("base"), 6).alias("mean"))
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    out = {name: f for name, (f, _) in _Q.items()}
+    return out | tool_queries.queries() | analytics.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {name: text for name, (_, text) in _Q.items() if text is not None}
+    return out | tool_queries.oracle_sql() | analytics.oracle_sql()
+
