@@ -6,11 +6,14 @@ A finding is a struct (label, type, score).  All columns here are plain expressi
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from guardloom.functions.dialect import java
+from guardloom.functions.literals import required_literals
 from guardloom.functions.rules import Rule
 
 FINDINGS = "array<struct<label:string,type:string,score:double>>"
@@ -35,9 +38,18 @@ def once(column: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, column)
 
 
-def hits(text: Column, rules: Sequence[Rule], flags: str) -> Column:
-    """Places (from 1) of the rules that match, in order."""
-    found = [F.when(text.rlike(java(r.pattern, flags)), F.lit(i)) for i, r in enumerate(rules, 1)]
+def hits(text: Column, rules: Sequence[Rule], flags: str, low: Column | None = None) -> Column:
+    """Places (from 1) of the rules that match, in order.
+
+    With ``low``, the text folded to small letters, a pattern is only tried where one of the
+    literals that it needs occurs; the result is the same.
+    """
+    found = []
+    for i, r in enumerate(rules, 1):
+        match, needed = text.rlike(java(r.pattern, flags)), required_literals(r.pattern)
+        if low is not None and needed:
+            match = reduce(or_, [low.contains(x) for x in sorted(needed)]) & match
+        found.append(F.when(match, F.lit(i)))
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from guardloom.functions import scoring as S
 from guardloom.functions.dialect import INBOUND_FLAGS, PLAIN_FLAGS, java
+from guardloom.functions.literals import folded
 from guardloom.functions.rules import INBOUND, INBOUND_FACTORS, KEYWORDS, LOOKALIKE_RANGES, TARGETS
 
 JUDGE_FROM = 0.35
@@ -77,14 +78,14 @@ def check_inbound(
     none = F.array().cast("array<int>")
     seen = F.struct(
         blank.alias("blank"),
-        F.when(blank, none).otherwise(S.hits(body, INBOUND, INBOUND_FLAGS)).alias("hits"),
+        F.when(blank, none).otherwise(S.hits(body, INBOUND, INBOUND_FLAGS, F.col("_low"))).alias("hits"),
         F.when(blank, F.lit(0.0)).otherwise(homoglyph_score(body)).alias("alike"),
         F.when(blank, F.array().cast(S.FINDINGS)).otherwise(markdown_findings(body)).alias("lines"),
     )
-    scanned = df.withColumn("_seen", S.once(seen)).select(
+    scanned = df.withColumn("_low", S.once(folded(body))).withColumn("_seen", S.once(seen)).select(
         "*", F.col("_seen.blank").alias("_blank"), F.col("_seen.hits").alias("_hits"), F.col("_seen.alike").alias("_alike"), F.col("_seen.lines").alias("_lines")
     )
     found = scanned.withColumn("findings", F.concat(*parts))
     out = found.withColumns(S.judged(F.col("findings"), "Matched # pattern(s): ", "No threats detected"))
     risk = F.col("risk_score")
-    return out.withColumn("needs_judge", ~F.col("_blank") & (risk >= judge_from) & (risk < 0.9)).drop("_seen", "_blank", "_hits", "_alike", "_lines")
+    return out.withColumn("needs_judge", ~F.col("_blank") & (risk >= judge_from) & (risk < 0.9)).drop("_low", "_seen", "_blank", "_hits", "_alike", "_lines")

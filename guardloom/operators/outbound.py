@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from guardloom.functions import scoring as S
 from guardloom.functions.dialect import OUTBOUND_FLAGS, PLAIN_FLAGS, java
+from guardloom.functions.literals import folded
 from guardloom.functions.rules import CATEGORIES, CREDENTIALS, OUTBOUND_FACTORS, PERSONAL, Rule
 
 REDACTED = "[REDACTED]"
@@ -85,12 +86,12 @@ def check_outbound(df: DataFrame, text: str = "text", surface: str = "surface",
     names = [F.when(body.rlike(name_pattern(n)), F.lit(i)) for i, n in enumerate(config.names, 1)]
     seen = F.struct(
         blank.alias("blank"),
-        F.when(blank, none).otherwise(S.hits(body, config.personal, OUTBOUND_FLAGS)).alias("personal"),
+        F.when(blank, none).otherwise(S.hits(body, config.personal, OUTBOUND_FLAGS, F.col("_low"))).alias("personal"),
         F.when(blank, none).otherwise(F.array_compact(F.array(*names)) if names else none).alias("names"),
-        F.when(blank, none).otherwise(S.hits(body, config.credentials, OUTBOUND_FLAGS)).alias("credentials"),
+        F.when(blank, none).otherwise(S.hits(body, config.credentials, OUTBOUND_FLAGS, F.col("_low"))).alias("credentials"),
         (F.when(blank, 0).otherwise(F.size(high_entropy_runs(body))) if config.check_high_entropy else F.lit(0)).alias("runs"),
     )
-    scanned = df.withColumn("_seen", S.once(seen)).withColumn("_blank", F.col("_seen.blank"))
+    scanned = df.withColumn("_low", S.once(folded(body))).withColumn("_seen", S.once(seen)).withColumn("_blank", F.col("_seen.blank"))
     name_list = F.array(*[F.lit(n) for n in config.names]) if names else F.array().cast("array<string>")
     named = lambda i: S.finding(F.concat(F.lit("name:"), F.element_at(name_list, i)), "privacy_violation", F.least(factor * 0.72, F.lit(0.89)))
     random_run = S.finding("high_entropy", "credential_leak", F.lit(0.72))
@@ -103,7 +104,7 @@ def check_outbound(df: DataFrame, text: str = "text", surface: str = "surface",
     out = scanned.withColumn("findings", found)
     out = out.withColumns(S.judged(F.col("findings"), "Privacy risk in # area(s): ", "No privacy violations detected"))
     risk = F.col("risk_score")
-    return out.withColumn("needs_judge", ~F.col("_blank") & (risk >= config.judge_from) & (risk < 0.9)).drop("_seen", "_blank")
+    return out.withColumn("needs_judge", ~F.col("_blank") & (risk >= config.judge_from) & (risk < 0.9)).drop("_low", "_seen", "_blank")
 
 
 def sanitize(df: DataFrame, text: str = "text", surface: str = "surface", config: PrivacyConfig = PrivacyConfig()) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from guardloom.operators import inbound
 from guardloom.plans import sql
 from guardloom.plans.fixtures import INBOUND_PAYLOADS, with_payload
+from guardloom.sources.readers import read_table, spread
 
 _ROWS = sql.payload_rows("documents", "doc_id", INBOUND_PAYLOADS)
 
 
 def _checked(spark, d):
-    return inbound.check_inbound(with_payload(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", INBOUND_PAYLOADS))
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
+    return inbound.check_inbound(with_payload(docs, "doc_id", INBOUND_PAYLOADS))
 
 
 def threat_rollup(spark, d):

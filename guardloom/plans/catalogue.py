@@ -13,6 +13,7 @@ from guardloom.operators import inbound, judge, outbound
 from guardloom.operators.outbound import PrivacyConfig
 from guardloom.plans import analytics, sql, tool_queries
 from guardloom.plans.fixtures import INBOUND_PAYLOADS, NAMES, OUTBOUND_PAYLOADS, with_payload
+from guardloom.sources.readers import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,28 +30,29 @@ NARROW = ("financial", "health")
 DISABLED = ("CRED_007", "CRED_002")
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def texts(spark, d, name, key, *columns):
+    """Columns of a table of texts, dealt out to all cores."""
+    return spread(read_table(spark, d, name).select(key, *columns))
 
 
 def raw_docs(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("public").alias("surface"))
+    return texts(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text", F.lit("public").alias("surface"))
 
 
 def in_docs(spark, d):
-    return with_payload(read(spark, d, "documents"), "doc_id", INBOUND_PAYLOADS)
+    return with_payload(texts(spark, d, "documents", "doc_id", "text"), "doc_id", INBOUND_PAYLOADS)
 
 
 def out_docs(spark, d):
-    return with_payload(read(spark, d, "documents"), "doc_id", OUTBOUND_PAYLOADS)
+    return with_payload(texts(spark, d, "documents", "doc_id", "text"), "doc_id", OUTBOUND_PAYLOADS)
 
 
 def pages(spark, d):
-    return read(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"), F.lit("web-page").alias("surface"))
+    return texts(spark, d, "pages", "page_id", "html").select(F.col("page_id").alias("id"), F.col("html").alias("text"), F.lit("web-page").alias("surface"))
 
 
 def turns(spark, d, role, payloads):
-    rows = read(spark, d, "conversations").where(F.col("role") == role)
+    rows = spread(read_table(spark, d, "conversations").where(F.col("role") == role).select("conv_id", "turn", "text"))
     return with_payload(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text"), "key", payloads)
 
 
@@ -212,7 +214,7 @@ _VERDICTS = "SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'high' WHEN quality =
 )
 def judge_merge(spark, d):
     toxic, poor = F.col("toxic") == 1, F.col("quality") == 0
-    verdicts = read(spark, d, "labels").select(
+    verdicts = read_table(spark, d, "labels").select(
         F.col("doc_id").alias("id"),
         F.when(toxic, "high").when(poor, "odd").otherwise("clean").alias("j_level"),
         F.when(toxic, 0.8).when(poor, 0.5).otherwise(0.1).alias("j_score"),
