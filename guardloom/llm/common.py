@@ -14,7 +14,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python.
+ROWS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ROWS_PER_BATCH if it is larger or unlimited."""
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > ROWS_PER_BATCH:
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +56,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     and non-deterministic steps are settled once.
     """
     spark = df.sparkSession
+    modest_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words in a generation of the cache; two generations are kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Bytes of text handled at a time (one text alone may be longer).
 SLICE_BYTES = 4 << 20
 
