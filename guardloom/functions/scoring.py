@@ -34,8 +34,8 @@ def lookup(table: Mapping[str, float], key: Column, default: float = 1.0) -> Col
 
 def once(column: Column) -> Column:
     """Keeps a costly column from being copied into filters above it: the planner does not
-    move a filter through a column that depends on where its row is."""
-    return F.when(F.monotonically_increasing_id() >= 0, column)
+    move a filter through a column that depends on where its row is, or merge such columns."""
+    return F.when(F.spark_partition_id() >= 0, column)
 
 
 def hits(text: Column, rules: Sequence[Rule], flags: str, low: Column | None = None) -> Column:

@@ -14,6 +14,7 @@ from guardloom.operators.outbound import PrivacyConfig
 from guardloom.plans import analytics, sql, tool_queries
 from guardloom.plans.fixtures import INBOUND_PAYLOADS, NAMES, OUTBOUND_PAYLOADS, with_payload
 from guardloom.sources.readers import read_table, spread
+from guardloom.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -236,10 +237,12 @@ def rule_catalogue(spark, d):
 
 def queries() -> dict[str, Query]:
     out = {name: f for name, (f, _) in _Q.items()}
-    return out | tool_queries.queries() | analytics.queries()
+    out |= tool_queries.queries() | analytics.queries()
+    return out | {f.__name__: f for f in (streams.stream_toolcall_decide, streams.stream_taint)}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: text for name, (_, text) in _Q.items() if text is not None}
-    return out | tool_queries.oracle_sql() | analytics.oracle_sql()
+    out |= tool_queries.oracle_sql() | analytics.oracle_sql()
+    return out | {"stream_toolcall_decide": out["toolcall_decide"]}
 

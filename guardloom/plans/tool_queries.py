@@ -11,6 +11,7 @@ from guardloom.operators import policy, taint, toolcalls
 from guardloom.plans import sql
 from guardloom.plans.fixtures import PARAMS, TOOLS, pick
 from guardloom.plans.sql import chosen, q
+from guardloom.streaming import registry
 
 MARK_SURFACES = (*TAINT_SOURCES, "internal", "web-page")
 NEXT = ("tool-a", "agent-b", "file-c")
@@ -84,6 +85,23 @@ def _calls(spark, d) -> DataFrame:
     return e.select(F.col("event_id").alias("call_id"), pick(TOOLS, F.col("event_id")).alias("tool"), pick(PARAMS, _key(8)).alias("params_text"), ids.alias("taint_ids"))
 
 
+def tracked_events(spark, d) -> DataFrame:
+    """Marks by user, and calls that name the user's last mark before them and an unknown one."""
+    marked = taint.mark(_marks(spark, d))
+    empty = F.array().cast("array<string>")
+    marks = marked.select(
+        F.col("user_id").cast("string").alias("tracker_id"), F.col("event_id").alias("seq"), "ts", F.lit("mark").alias("kind"),
+        F.concat(F.lit("e"), "event_id").alias("taint_id"), "source", "surface", F.lit("").alias("tool"), F.lit("none").alias("sink"),
+        F.lit(False).alias("param_hit"), empty.alias("taint_ids"),
+    )
+    ids = F.array(F.lit("gone"), F.concat(F.lit("e"), (F.col("event_id") - F.col("event_id") % 3).cast("string")))
+    calls = _events(spark, d).where("event_id % 3 = 1").select(
+        F.col("user_id").cast("string").alias("tracker_id"), F.col("event_id").alias("seq"), "ts",
+        pick(TOOLS, F.col("event_id")).alias("tool"), pick(PARAMS, _key(8)).alias("params_text"), ids.alias("taint_ids"),
+    )
+    return marks.unionByName(registry.call_events(calls))
+
+
 _SINK = "CASE lower(trim(tool)) " + " ".join(f"WHEN {q(t)} THEN {q(s)}" for s, tools in TOOL_SINKS.items() for t in tools) + " END"
 _LAST = "CASE " + " ".join(f"WHEN {sql.matches(p, PLAIN_FLAGS, 'params_text')} THEN {q(s)}" for p, s in reversed(PARAMETERS)) + " END"
 _ANY = " OR ".join(sql.matches(p, PLAIN_FLAGS, "params_text") for p, _ in PARAMETERS)
