@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -62,6 +64,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """Wraps a generator over Arrow batches so that its worker gives freed memory back at the end.
+
+    Workers wait for the next stage; what their allocators keep meanwhile counts on top of
+    what other workers of the executor use.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                import ctypes
+
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def word_count(text: Column) -> Column:
     """Words of ``text``; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

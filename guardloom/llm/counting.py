@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardloom.llm.common import lean
+
 LEAF = 64
 #: Characters after its end that the split of a pre-token can depend on.
 LOOKAHEAD = 4
@@ -179,6 +181,7 @@ def count_tokens(docs: DataFrame, ranks_path: str | None = None, pattern: str |
     """
     ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = PreTokens(ranks_path, pattern)
         for batch in batches:
@@ -203,6 +206,7 @@ def apply_edits(counted: DataFrame, edits: Column, ranks_path: str | None = None
     """
     ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = PreTokens(ranks_path, pattern)
         for batch in batches:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardloom.llm.common import lean
+
 _TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)""",
     re.S,
@@ -246,6 +248,7 @@ def extract(pages: DataFrame) -> DataFrame:
     page has empty text; rows are worked on one by one, so repeated rows repeat.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column("html")]

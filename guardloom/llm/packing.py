@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardloom.llm.common import lean
 from guardloom.llm.wordpiece import WordIds, encode, slices
 
 CAPACITY = 4096
@@ -89,6 +90,7 @@ class Packer:
 
 
 def _pack_batches(path: str, capacity: int, closing_id: int, with_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = WordIds(path), Packer(TaskContext.get().partitionId(), capacity)
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardloom.llm.common import lean
+
 BUCKETS = 1024
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 6000
@@ -125,6 +127,7 @@ def training_rows(labels: DataFrame, docs: DataFrame, label: str, sample_rows: i
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> CumulativeLink:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(x.as_py(), buckets).tobytes() for x in batch.column("text")]
@@ -143,6 +146,7 @@ def quality_column(model: CumulativeLink, text: Column, least_grade: int | None
     grade = model.grades[-1] if least_grade is None else least_grade
     buckets = len(model.weights)
 
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             x = np.array([features(t.as_py(), buckets) for t in texts], dtype=np.float32).reshape(-1, buckets)

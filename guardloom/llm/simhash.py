@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardloom.llm.common import materialise
+from guardloom.llm.common import lean, materialise
 from guardloom.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -56,6 +56,7 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
     """A column of fingerprints (their bits as a signed long); null texts count as empty."""
 
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             got = np.array([fingerprint(x.as_py(), shingle_words) for x in texts], dtype=np.uint64)
@@ -132,6 +133,7 @@ def spanning_edges(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def _cell_edges(radius: int, hot_cell: int):
     """Sorted (cell, fp) -> (hot, u, v): edges, or (cell, fp) of cells that are too large here."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, size = None, [], 0  # the open cell
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardloom.llm.common import materialise
+from guardloom.llm.common import lean, materialise
 from guardloom.llm.quality import training_rows
 
 #: Labelled rows that models are fitted on, at most.
@@ -218,6 +218,7 @@ def without_near_copies(rows: DataFrame) -> DataFrame:
     """Training rows without those that share one of three least hashes of their three-word
     shingles with a row of smaller id: copies would count their words as independent evidence."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -245,6 +246,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """
     rows = materialise(without_near_copies(training_rows(labels, docs, "toxic", sample_rows)), "toxic-sample")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
 
@@ -280,6 +282,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     names = [r["feature"] for r in chosen.orderBy(F.desc(gap), "feature").limit(most_features).collect()]
     place = {f: i for i, f in enumerate(names)}
 
+    @lean
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
@@ -299,6 +302,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 def _common_words(rows: DataFrame, most: int = 20_000) -> Counter:
     """The commonest words of the training rows, toxic ones up to the clean ones' weight."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for batch in batches:
@@ -314,6 +318,7 @@ def _common_words(rows: DataFrame, most: int = 20_000) -> Counter:
 def toxicity_column(model: ToxicityModel, text: Column) -> Column:
     """A column of scores for a column of texts; only the texts go to Python."""
 
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = model.scorer()
         for texts in batches:
