@@ -66,10 +66,11 @@ _WALLS = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body"
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "dropped", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "dropped", "named", "density", "sum")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, named: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.named = named  # by its class, id or role, as something beside the article
         self.parts: list = []  # texts and nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -83,16 +84,39 @@ def _dropped(tag: str, attributes: str, at: _Node) -> bool:
             at = at.parent
         if at is None:
             return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    if tag in ("html", "body", "article", "main"):
+    return bool(attributes) and _HIDDEN.search(attributes) is not None
+
+
+def _named(tag: str, attributes: str) -> bool:
+    if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for m in _NAMES.finditer(attributes):
-        if not _ASIDE.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+    names = (m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes))
+    return any(not _ASIDE.isdisjoint(re.split(r"[^a-z]+", n.lower())) for n in names)
+
+
+def _settle(root: _Node) -> None:
+    """Drops what its name puts beside the article, unless it holds the article, or most of the
+    text of a page that marks no article."""
+    sizes: dict[int, list] = {}  # characters below a node, whether an article is
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not node.dropped:
+            order.append(node)
+            todo += [x for x in node.parts if not isinstance(x, str)]
+    for node in reversed(order):
+        own = sizes.setdefault(id(node), [0, False])
+        own[0] += node.chars
+        if node.parent is not None:
+            up = sizes.setdefault(id(node.parent), [0, False])
+            up[0] += own[0]
+            up[1] |= own[1] or node.tag in ("article", "main")
+    for node in order:
+        if node.parent is not None and node.parent.dropped:
+            node.dropped = True
+        elif node.named:
+            chars, article = sizes[id(node)]
+            node.dropped = not article and (sizes[id(root)][1] or 2 * chars <= sizes[id(root)][0])
 
 
 def _tree(page: str) -> _Node:
@@ -147,7 +171,7 @@ def _tree(page: str) -> _Node:
                 up = up.parent
             while up.tag in ends and up.parent is not None:
                 at = up = up.parent
-        new = _Node(tag, at, at.dropped or _dropped(tag, m[2], at))
+        new = _Node(tag, at, at.dropped or _dropped(tag, m[2], at), _named(tag, m[2]))
         at.parts.append(new)
         if tag not in _VOID:
             at = new
@@ -210,6 +234,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = _tree(page)
+    _settle(root)
     nodes = _nodes(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     _measure(nodes, body)

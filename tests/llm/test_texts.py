@@ -108,6 +108,8 @@ def test_edits_touch_little(spark):
         ("<nav>menu</nav><article><h1>T</h1><p>one<br>two &nbsp; x<p><b>three</article><footer>f</footer>", "T\n\none two x\n\nthree"),
         ("<article><header><h1>T</h1></header><p>text of it</p><div class='comments'><p>nice</p></div><aside>s</aside></article>", "T\n\ntext of it"),
         ("<body><div class=ad>buy a thing now and here</div><article><h1>T</h1><p>b</p></article></body>", "T\n\nb"),
+        ("<div class='page has-sidebar'><div class='sidebar'>side links</div><article><p>kept text</p></article></div>", "kept text"),
+        ("<div class='social-ready story'><p>the longest text of the page is here</p></div><div class='share'>share it</div>", "the longest text of the page is here"),
         ("<script>if (a<b) '</p>'</script><style>p{}</style><p>x</p><!-- <p>no</p> --><form>f<input></form>", "x"),
         ("<article><p>a</p><p>cut &am", "a\n\ncut &am"),
         ("<article><p>a</p><p cla", "a"),
