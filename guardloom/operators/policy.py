@@ -125,3 +125,12 @@ def privacy_config(agent: dict, check_credentials: bool = True) -> PrivacyConfig
         disabled_rules=tuple(agent.get("disabled_cred_rules") or ()),
         check_high_entropy=bool(agent.get("check_high_entropy")),
     )
+
+
+def agent_names(policy: dict) -> list[str]:
+    return sorted(policy.get("agents") or {})
+
+
+def family_config(names: tuple[str, ...]) -> PrivacyConfig:
+    """Protects the given names and looks for every category."""
+    return PrivacyConfig(protected_names=tuple(names))

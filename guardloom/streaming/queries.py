@@ -15,7 +15,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def shared(spark: SparkSession) -> str:
     """A new folder where the session keeps its checkpoints, or a temporary one of a single process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="guardloom-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="guardloom-stream-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
