@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--outbound", action="store_true")
     p.add_argument("--protect", action="append", default=[], help="a name that must not go out")
     p.add_argument("--json", action="store_true")
-    args = p.parse_args(argv)
+    args = p.parse_intermixed_args(argv)
     try:
         spark, config = _session(), PrivacyConfig(protected_names=tuple(args.protect))
         schema = "surface string, text string"
