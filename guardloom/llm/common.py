@@ -55,12 +55,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a reread and not a recomputation,
-    and non-deterministic steps are settled once.
+    and non-deterministic steps are settled once.  The table goes when the session's JVM ends.
     """
     spark = df.sparkSession
     modest_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = spark.sparkContext
+    written = context._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
 
 
