@@ -230,10 +230,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, hot_cell: int = HOT_CELL) -> DataFrame:
     """The rows of ``docs``, with its columns, of which one of each class is left: the one with
     the smallest doc_id (of rows with equal ids, or without one, the one with the smallest text)."""
-    names = docs.columns
     wide = docs.select("*", fingerprint_column(F.col("text"), shingle_words).alias("__fp"))
     marked = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), shingle_words).alias("fp")), "simhash-fps")
-    found = classes(marked, radius, hot_cell).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"))
+    return one_of_each(wide, marked, classes(marked, radius, hot_cell))
+
+
+def one_of_each(wide: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``wide`` without its __fp, one of each class of ``found`` (fp, root, component_id);
+    ``marked`` has doc_id and fp of all rows."""
+    names = [c for c in wide.columns if c != "__fp"]
+    found = found.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"))
     found = materialise(found, "simhash-classes")
     first = wide.join(found, "__fp").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__least")))
     ids = marked.join(found, marked["fp"] == found["__fp"]).where("doc_id <=> __least")
