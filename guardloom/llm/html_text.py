@@ -32,7 +32,7 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Elements that hold none of an article's text.
 _NEVER = _RAW | set(
-    "head nav footer aside form button select option template svg canvas object audio video dialog menu".split()
+    "head nav footer aside button select option template svg canvas object audio video dialog menu".split()
 )
 #: Elements that only mark text inside a block.
 _INLINE = set(
@@ -65,6 +65,10 @@ _ENDS = {
 _WALLS = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body", "blockquote"}
 
 
+class _Link(str):
+    """A text inside a link."""
+
+
 class _Node:
     __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "dropped", "named", "density", "sum")
 
@@ -96,7 +100,7 @@ def _named(tag: str, attributes: str) -> bool:
 
 def _settle(root: _Node) -> None:
     """Drops what its name puts beside the article, unless it holds the article, or most of the
-    text of a page that marks no article."""
+    text of a page that marks no article; and forms, unless they hold the article or most of the text."""
     sizes: dict[int, list] = {}  # characters below a node, whether an article is
     order, todo = [], [root]
     while todo:
@@ -114,6 +118,9 @@ def _settle(root: _Node) -> None:
     for node in order:
         if node.parent is not None and node.parent.dropped:
             node.dropped = True
+        elif node.tag == "form":
+            chars, article = sizes[id(node)]
+            node.dropped = not article and 2 * chars <= sizes[id(root)][0]
         elif node.named:
             chars, article = sizes[id(node)]
             node.dropped = not article and (sizes[id(root)][1] or 2 * chars <= sizes[id(root)][0])
@@ -127,7 +134,7 @@ def _tree(page: str) -> _Node:
         if not raw or at.dropped:
             return
         plain = html.unescape(raw) if "&" in raw else raw
-        at.parts.append(plain)
+        at.parts.append(_Link(plain) if links else plain)
         if n := len(plain.strip()):
             at.chars += n
             if links:
@@ -229,6 +236,17 @@ def _blocks(node: _Node, out: list[list[str]]) -> None:
             out.append([])
 
 
+def _runs(node: _Node) -> list:
+    """The parts of a node that count, with each run of texts between its blocks as one list."""
+    out: list = [[]]
+    for x in node.parts:
+        if isinstance(x, str):
+            out[-1].append(x)
+        else:
+            out += [[]] if x.dropped else [x, []]
+    return [x for x in out if not isinstance(x, list) or x]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line, with an empty line between; empty if there is none."""
     if not page:
@@ -255,13 +273,16 @@ def main_text(page: str | None) -> str:
                 if within == "article" or x.density >= least or within == "main" and x.tag in _HEADINGS:
                     chosen.add(id(x))
     out: list[list[str]] = []
-    todo = [path[-1]]
+    todo: list = [path[-1]]
     while todo:
         node = todo.pop()
-        if id(node) in chosen:
+        if isinstance(node, list):  # a run of texts directly in a node of the path
+            if within == "article" or sum(len(x.strip()) for x in node if not isinstance(x, _Link)) >= least:
+                out.append(node)
+        elif id(node) in chosen:
             _blocks(node, out)
         elif node in path:
-            todo += [x for x in reversed(node.parts) if not isinstance(x, str) and not x.dropped]
+            todo += reversed(_runs(node))
     joined = (" ".join("".join(parts).split()) for parts in out)
     return "\n\n".join(x for x in joined if x)
 
