@@ -3,7 +3,8 @@
 Each node of a page's tree has a density: its characters per tag, lowered by the share of
 them that stand in links.  The node with the largest sum of its children's densities is
 the core of the article; the least density on the way from it up to the body is the
-threshold that a block beside it has to reach to belong to it.
+threshold that a block beside it has to reach to belong to it.  Inside an article element
+tags and names decide instead: every block belongs to it that they do not drop.
 """
 
 from __future__ import annotations

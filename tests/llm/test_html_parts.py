@@ -20,3 +20,11 @@ LONG = "long words of a paragraph that goes on and on until it is long enough "
 )
 def test_whole_article(page, want):
     assert html_text.main_text(page) == "\n\n".join(" ".join(x.split()) for x in want)
+
+
+def test_density_path_without_article_tags():
+    links = "<ul>" + "<li><a href=x>see</a>" * 8 + "</ul>"
+    page = f"<body><div>{links}<div><p>{LONG}</p><p>{LONG}</p></div></div></body>"
+    assert html_text.main_text(page) == "\n\n".join([LONG.strip()] * 2)
+    inside = html_text.main_text(page.replace("<body><div>", "<body><article>").replace("</div></body>", "</article></body>"))
+    assert inside.startswith("see")
