@@ -59,17 +59,14 @@ class CharModel:
     two: Counter = field(default_factory=Counter)
     one: Counter = field(default_factory=Counter)
     zero: Counter = field(default_factory=Counter)
-    known: dict = field(default_factory=dict)
-
-    def learn(self, words: Counter) -> "CharModel":
-        for word, n in words.items():
-            marked = f"^^{word}$"
-            for i in range(2, len(marked)):
-                self.three[marked[i - 2 : i + 1]] += n
-                self.two[marked[i - 2 : i]] += n
-                self.one[marked[i - 1 : i + 1]] += n
-                self.zero[marked[i]] += n
-        self.known = {w: n for w, n in words.items() if n > 1}
+
+    def learn(self, trigrams: Counter) -> "CharModel":
+        """From counts of three letters of words marked as ^^word$."""
+        for gram, n in trigrams.items():
+            self.three[gram] += n
+            self.two[gram[:2]] += n
+            self.one[gram[1:]] += n
+            self.zero[gram[2]] += n
         return self
 
     def cost(self, context: str, letter: str) -> float:
@@ -241,7 +238,7 @@ def without_near_copies(rows: DataFrame) -> DataFrame:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most_features: int = FEATURES) -> ToxicityModel:
     """A model from at most ``sample_rows`` labelled rows that are not held out.
 
-    The character model learns from the same rows' words.  Without rows of both labels
+    The character model learns from the words of all documents.  Without rows of both labels
     every text scores the share of label 1 (0 without any).
     """
     rows = materialise(without_near_copies(training_rows(labels, docs, "toxic", sample_rows)), "toxic-sample")
@@ -270,8 +267,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     counted = counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sides = {int(r["side"]): r["n"] for r in rows.groupBy(F.expr("int(label > 0)").alias("side")).agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = sides.get(0, 0), sides.get(1, 0)
-    words = _common_words(rows)
-    letters = CharModel().learn(words)
+    letters = CharModel().learn(letter_trigrams(docs))
     if not n_clean or not n_toxic:
         return ToxicityModel(letters, {}, 50.0 if n_toxic else -50.0)
     a, b = F.col("toxic"), F.col("clean")
@@ -299,20 +295,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     return ToxicityModel(letters, dict(zip(names, weights.tolist())), bias)
 
 
-def _common_words(rows: DataFrame, most: int = 20_000) -> Counter:
-    """The commonest words of the training rows, toxic ones up to the clean ones' weight."""
+def letter_trigrams(docs: DataFrame) -> Counter:
+    """How often three letters follow each other in the words of all documents, each word once a document."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            grams: Counter = Counter()
+            for word, n in held.items():
+                marked = f"^^{word}$"
+                for i in range(len(word) + 1):
+                    grams[marked[i : i + 3]] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
+
         for batch in batches:
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                for w in word_set(text, None, {}):
-                    held[w] += 8 if label > 0 else 1
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            for text in batch.column("text"):
+                held.update(word_set(text.as_py(), None, {}))
+                if len(held) > 200_000:
+                    yield out()
+        yield out()
 
-    words = rows.select("label", "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Counter({r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(most).collect()})
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram string, n long")
+    return Counter({r["gram"]: r["n"] for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()})
 
 
 def toxicity_column(model: ToxicityModel, text: Column) -> Column:
