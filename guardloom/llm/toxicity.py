@@ -45,9 +45,10 @@ COST_LOOKALIKE, COST_WILD, COST_KEEP, COST_DROP, COST_REPEAT = 0.5, 2.5, 6.0, 0.
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.escape("".join(LOOKALIKES))
-#: letters with such marks inside, before or as one last sign
-_LEET = re.compile(rf"(?<![\w{_MARKS}])(?=[{_MARKS}]{{0,3}}[^\W\d_])[\w{_MARKS}]*?[{_MARKS}](?:[\w{_MARKS}]*[^\W_]|(?<=[^\W\d_][0-9@$]))(?![\w{_MARKS}])")
+#: whole runs that mix letters and such marks
+_LEET = re.compile(rf"(?<![\w{_MARKS}])(?=[{_MARKS}]*+[^\W\d_])(?=[^\W{_MARKS}]*+[{_MARKS}])[\w{_MARKS}]++")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _SPACED = re.compile(rf"(?<![\w{_MARKS}])(?:[^\W_]|[@$!])(?:[ .\-_*][^\W\d_0]|[ .\-_*][0-9@$!](?=[ .\-_*])){{2,}}(?![\w])")
 
 
@@ -90,7 +91,7 @@ def decode(raw: str, model: CharModel, cache: dict[str, str]) -> str:
     """The likeliest letters of one obfuscated word."""
     if raw in cache:
         return cache[raw]
-    drawn = re.sub(r"(.)\1{2,}", r"\1\1", raw.lower())
+    drawn = _DRAWN.sub(r"\1\1", raw.lower())  # not marks: each may be a letter
     states = {"^^": (0.0, "")}
     for i, c in enumerate(drawn):
         options = [(c, 0.0 if c.isalpha() else COST_KEEP)]

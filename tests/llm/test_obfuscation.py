@@ -27,3 +27,9 @@ def test_letters_come_from_all_documents(spark):
     assert got == want
     model = toxicity.fit_toxicity(frame, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
     assert model.letters.three == want
+
+
+@pytest.mark.parametrize("text, word", [("idi0+", "idiot"), ("sh!+", "shit"), ("scu3|", "scuel"), ("worthle$$", "worthless"), ("worth1e$$!", "worthless"), ("hello!", "hello"), ("+oad", "toad"), ("(worthle$$)", "worthless")])
+def test_signs_at_the_ends_of_words(text, word):
+    model = letters("idiot", "shit", "scuel", "worthless", "hello", "toad")
+    assert word in toxicity.readings(text, model, {})
