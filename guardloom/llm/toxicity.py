@@ -71,6 +71,14 @@ class CharModel:
         return self
 
     def cost(self, context: str, letter: str) -> float:
+        costs = self.__dict__.setdefault("_costs", {})
+        if (key := context + letter) not in costs:
+            if len(costs) > 500_000:
+                costs.clear()
+            costs[key] = self._cost(context, letter)
+        return costs[key]
+
+    def _cost(self, context: str, letter: str) -> float:
         total = sum(self.zero.values()) if not hasattr(self, "_total") else self._total
         self._total = total
         floor = (self.zero[letter] + 0.1) / (total + 10)
@@ -109,7 +117,7 @@ def decode(raw: str, model: CharModel, cache: dict[str, str]) -> str:
                     cost, key = so_far + price, context
                 if key not in after or cost < after[key][0]:
                     after[key] = (cost, text + letter)
-        states = dict(sorted(after.items(), key=lambda x: x[1][0])[:48])
+        states = after
     best = min((cost + model.cost(context, "$"), text) for context, (cost, text) in states.items())[1]
     if len(cache) > 200_000:
         cache.clear()

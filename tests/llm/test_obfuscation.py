@@ -33,3 +33,29 @@ def test_letters_come_from_all_documents(spark):
 def test_signs_at_the_ends_of_words(text, word):
     model = letters("idiot", "shit", "scuel", "worthless", "hello", "toad")
     assert word in toxicity.readings(text, model, {})
+
+
+def test_the_likeliest_of_all_readings(monkeypatch):
+    """Against a search over whole prefixes, which drops nothing."""
+    model = letters("would", "wild", "wield", "mean", "main", "moan", "abel")
+    for raw in ("w*1*!*d", "m*!*n", "a*|*b", "*!*|*!*", "(*!*|*1*d"):
+        best = {("^^", ""): 0.0}
+        for c in raw:
+            options = [(c, 0.0 if c.isalpha() else toxicity.COST_KEEP)]
+            options += [(x, toxicity.COST_LOOKALIKE if len(toxicity.LOOKALIKES[c]) < 3 else toxicity.COST_WILD) for x in toxicity.LOOKALIKES.get(c, "")]
+            if not c.isalnum():
+                options.append(("", toxicity.COST_DROP))
+            after = {}
+            for (context, text), cost in best.items():
+                for x, price in options:
+                    key = (context[-1] + x if x else context, text + x)
+                    total = cost + price + (model.cost(context, x) if x else 0)
+                    after[key] = min(total, after.get(key, total))
+            # the same two letters have the same future: the cheapest prefix of each is enough
+            least = {}
+            for (context, text), cost in after.items():
+                if context not in least or (cost, text) < least[context]:
+                    least[context] = (cost, text)
+            best = {(k, t): c for k, (c, t) in least.items()}
+        want = min((cost + model.cost(context, "$"), text) for (context, text), cost in best.items())[1]
+        assert toxicity.decode(raw, model, {}) == want
