@@ -35,7 +35,7 @@ def _key(divisor: int):
 
 
 def _marks(spark, d) -> DataFrame:
-    e = _events(spark, d).where("event_id % 3 = 0")
+    e = _events(spark, d)
     text = F.concat(F.lit("content "), (F.col("event_id") % 97).cast("string"))
     return e.select("event_id", "user_id", "ts", text.alias("text"), pick(MARK_SURFACES, _key(3)).alias("surface"))
 
@@ -56,7 +56,7 @@ def taint_evict(spark, d):
 
 
 def _entries(spark, d) -> DataFrame:
-    marked = taint.mark(_marks(spark, d))
+    marked = taint.mark(_marks(spark, d).where("event_id % 3 = 0"))  # the other events are edges
     return marked.select(F.concat(F.lit("e"), "event_id").alias("taint_id"), "content_hash", "source", "path")
 
 
@@ -86,20 +86,24 @@ def _calls(spark, d) -> DataFrame:
 
 
 def tracked_events(spark, d) -> DataFrame:
-    """Marks by user, and calls that name the user's last mark before them and an unknown one."""
-    marked = taint.mark(_marks(spark, d))
-    empty = F.array().cast("array<string>")
-    marks = marked.select(
-        F.col("user_id").cast("string").alias("tracker_id"), F.col("event_id").alias("seq"), "ts", F.lit("mark").alias("kind"),
-        F.concat(F.lit("e"), "event_id").alias("taint_id"), "source", "surface", F.lit("").alias("tool"), F.lit("none").alias("sink"),
-        F.lit(False).alias("param_hit"), empty.alias("taint_ids"),
+    """One row an event, by user: marks of untrusted content, propagations of the mark before
+    them, and calls that name that mark and an unknown one."""
+    place = F.col("event_id") % 3
+    role = F.when((place == 0) & taint.source_of(F.col("surface")).isNotNull(), "mark").when(place == 2, "propagate").otherwise("call")
+    events = _marks(spark, d).withColumn("kind", role).withColumn("tracker_id", F.col("user_id").cast("string")).withColumn("seq", F.col("event_id"))
+    own, last = F.concat(F.lit("e"), "event_id"), F.concat(F.lit("e"), (F.col("event_id") - place).cast("string"))
+    empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
+    rest = (F.lit("").alias("tool"), F.lit("none").alias("sink"), F.lit(False).alias("param_hit"))
+    marks = taint.mark(events.where("kind = 'mark'")).select(
+        "tracker_id", "seq", "ts", "kind", own.alias("taint_id"), "source", "surface", *rest, empty.alias("taint_ids")
+    )
+    steps = events.where("kind = 'propagate'").select(
+        "tracker_id", "seq", "ts", "kind", own.alias("taint_id"), none.alias("source"), pick(NEXT, F.col("event_id")).alias("surface"), *rest, F.array(last).alias("taint_ids")
     )
-    ids = F.array(F.lit("gone"), F.concat(F.lit("e"), (F.col("event_id") - F.col("event_id") % 3).cast("string")))
-    calls = _events(spark, d).where("event_id % 3 = 1").select(
-        F.col("user_id").cast("string").alias("tracker_id"), F.col("event_id").alias("seq"), "ts",
-        pick(TOOLS, F.col("event_id")).alias("tool"), pick(PARAMS, _key(8)).alias("params_text"), ids.alias("taint_ids"),
+    calls = events.where("kind = 'call'").select(
+        "tracker_id", "seq", "ts", pick(TOOLS, F.col("event_id")).alias("tool"), pick(PARAMS, _key(8)).alias("params_text"), F.array(F.lit("gone"), last).alias("taint_ids")
     )
-    return marks.unionByName(registry.call_events(calls))
+    return marks.unionByName(steps).unionByName(registry.call_events(calls))
 
 
 _SINK = "CASE lower(trim(tool)) " + " ".join(f"WHEN {q(t)} THEN {q(s)}" for s, tools in TOOL_SINKS.items() for t in tools) + " END"
