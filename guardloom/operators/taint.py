@@ -50,20 +50,21 @@ def evict(entries: DataFrame, by: list[str], newest: list[str], most: int = MOST
     return entries.withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= most).drop("_n")
 
 
-def propagate(entries: DataFrame, edges: DataFrame, most_steps: int = 20) -> DataFrame:
+def propagate(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """Entries (taint_id, content_hash, source, path) and all that edges (parent_id, child_id,
-    next_surface) derive from them.  Edges from unknown ids derive nothing."""
+    next_surface) derive from them.  Edges from unknown ids derive nothing.  Chains longer than the session's
+    ``spark.sql.cteRecursionLevelLimit`` (100), and cycles, end in an error."""
     spark = entries.sparkSession
     roots = entries.select("taint_id", "content_hash", "source", "path", F.lit(0).alias("depth"))
     roots.createOrReplaceTempView("_taint_roots")
     edges.createOrReplaceTempView("_taint_edges")
-    return spark.sql(f"""
+    return spark.sql("""
         WITH RECURSIVE reached AS (
           SELECT * FROM _taint_roots
           UNION ALL
           SELECT e.child_id, substring(sha2(concat(r.content_hash, e.next_surface), 256), 1, 16), r.source,
                  concat(r.path, array(e.next_surface)), r.depth + 1
-          FROM reached r JOIN _taint_edges e ON r.taint_id = e.parent_id WHERE r.depth < {most_steps})
+          FROM reached r JOIN _taint_edges e ON r.taint_id = e.parent_id)
         SELECT * FROM reached""")
 
 
