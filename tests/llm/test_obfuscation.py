@@ -59,3 +59,8 @@ def test_the_likeliest_of_all_readings(monkeypatch):
             best = {(k, t): c for k, (c, t) in least.items()}
         want = min((cost + model.cost(context, "$"), text) for (context, text), cost in best.items())[1]
         assert toxicity.decode(raw, model, {}) == want
+
+
+def test_a_reading_beyond_the_48_cheapest_states():
+    model = letters("uanamcoi", "ueeai", "ilncm", "numslcti")
+    assert toxicity.decode("***n*m(*1", model, {}) == "namcoi"
