@@ -14,11 +14,14 @@ from guardloom.operators.outbound import PrivacyConfig
 
 ENVIRONMENT = "GUARDLOOM_POLICY"
 # Constants that hold where no layer says otherwise.
-DEFAULTS = {"block_threshold": 0.70, "llm_threshold": 0.35, "use_llm": False, "check_credentials": True, "check_high_entropy": False}
+DEFAULTS = {"block_threshold": 0.9, "llm_threshold": 0.35, "use_llm": False, "check_credentials": True, "check_high_entropy": False}
 _SETTINGS = "block_threshold double, llm_threshold double, use_llm boolean"
-AGENTS = f"agent string, allowed_surfaces array<string>, protected_names array<string>, disabled_rules array<string>, check_credentials boolean, check_high_entropy boolean, {_SETTINGS}"
+AGENTS = f"agent string, allowed_surfaces array<string>, protected_names array<string>, disabled_rules array<string>, check_credentials boolean, check_high_entropy boolean, {_SETTINGS}, extra map<string,string>"
 OVERRIDES = f"agent string, surface string, {_SETTINGS}, inbound_strict boolean, outbound_strict boolean, risk_multiplier double, trust_level string, extra map<string,string>"
 _KNOWN = {x.split()[0] for x in OVERRIDES.split(", ")} - {"agent", "surface", "extra"}
+_AGENT_KNOWN = {x.split()[0] for x in AGENTS.split(", ")} - {"agent", "extra", "disabled_rules"} | {"disabled_cred_rules", "surface_overrides"}
+SURFACE_PROFILES = "surface string, trust_level string, inbound_strict boolean, outbound_strict boolean, risk_multiplier double, extra map<string,string>"
+_PROFILE_KNOWN = ("trust_level", "inbound_strict", "outbound_strict", "risk_multiplier")
 
 
 def read_policy(path: str | None = None) -> dict:
@@ -63,7 +66,8 @@ def policy_tables(spark: SparkSession, policy: dict) -> tuple[DataFrame, DataFra
     for name, a in (policy.get("agents") or {}).items():
         a = a or {}
         row = [name, *(list(a.get(k) or []) for k in ("allowed_surfaces", "protected_names", "disabled_cred_rules"))]
-        agents.append((*row, a.get("check_credentials"), a.get("check_high_entropy"), *_settings(a)))
+        more = {k: str(v) for k, v in a.items() if k not in _AGENT_KNOWN}
+        agents.append((*row, a.get("check_credentials"), a.get("check_high_entropy"), *_settings(a), more))
         for surface, s in (a.get("surface_overrides") or {}).items():
             s = s or {}
             extra = {k: str(v) for k, v in s.items() if k not in _KNOWN}
@@ -71,6 +75,16 @@ def policy_tables(spark: SparkSession, policy: dict) -> tuple[DataFrame, DataFra
     return spark.createDataFrame(agents, AGENTS), spark.createDataFrame(overrides, OVERRIDES)
 
 
+def surface_table(spark: SparkSession, policy: dict) -> DataFrame:
+    """The policy's own ``surfaces``, which hold for all agents: one row a surface."""
+    rows = []
+    for surface, s in (policy.get("surfaces") or {}).items():
+        s = s or {}
+        extra = {k: str(v) for k, v in s.items() if k not in _PROFILE_KNOWN}
+        rows.append((surface, s.get("trust_level"), s.get("inbound_strict"), s.get("outbound_strict"), _number(s.get("risk_multiplier")), extra))
+    return spark.createDataFrame(rows, SURFACE_PROFILES)
+
+
 def _number(x):
     return None if x is None else float(x)
 
@@ -84,12 +98,14 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "surface string, trust_level string, inbound_strict boolean, outbound_strict boolean, risk_multiplier double, watch_for array<string>")
 
 
-def merged_profiles(base: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Built-in profiles under a policy's own, field by field; surfaces of either side."""
-    o = overrides.select("surface", *[F.col(c).alias(f"o_{c}") for c in ("trust_level", "inbound_strict", "outbound_strict", "risk_multiplier")])
+def merged_profiles(base: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Built-in profiles under a policy's ``surfaces`` (surface_table()), field by field; surfaces of either side.
+
+    Overrides of single agents have no part in this; they are what effective() is for."""
+    o = surfaces.select("surface", "extra", *[F.col(c).alias(f"o_{c}") for c in _PROFILE_KNOWN])
     both = base.join(o, "surface", "full")
     unknown = {"trust_level": "medium", "inbound_strict": True, "outbound_strict": False, "risk_multiplier": 1.0}
-    return both.select("surface", *[F.coalesce(f"o_{c}", c, F.lit(d)).alias(c) for c, d in unknown.items()])
+    return both.select("surface", *[F.coalesce(f"o_{c}", c, F.lit(d)).alias(c) for c, d in unknown.items()], "extra")
 
 
 def effective(requests: DataFrame, agents: DataFrame, overrides: DataFrame, defaults: dict | None = None) -> DataFrame:
@@ -105,7 +121,7 @@ def effective(requests: DataFrame, agents: DataFrame, overrides: DataFrame, defa
     out = requests.join(a, F.col("agent") == F.col("a_agent"), "left").join(o, (F.col("agent") == F.col("o_agent")) & (F.col("surface") == F.col("o_surface")), "left")
     layered = {c: F.coalesce(f"o_{c}", f"a_{c}", F.lit(d[c])) for c in ("block_threshold", "llm_threshold", "use_llm")}
     agent_only = {c: F.coalesce(f"a_{c}", F.lit(d[c])) for c in ("check_credentials", "check_high_entropy")}
-    flat = {"inbound_strict": False, "outbound_strict": False, "risk_multiplier": 1.0, "trust_level": "medium"}
+    flat = {"inbound_strict": True, "outbound_strict": False, "risk_multiplier": 1.0, "trust_level": "medium"}
     allowed = F.coalesce((F.size("allowed_surfaces") <= 0) | F.array_contains("allowed_surfaces", F.col("surface")), F.lit(True))
     return out.select(
         *requests.columns,
@@ -115,15 +131,40 @@ def effective(requests: DataFrame, agents: DataFrame, overrides: DataFrame, defa
     )
 
 
+def with_policy_block(checked: DataFrame) -> DataFrame:
+    """Adds policy_block: the unrounded score reaches the block_threshold of effective().
+
+    The checks' own ``blocked`` does not depend on a policy and stays as it is."""
+    return checked.withColumn("policy_block", F.col("raw_score") >= F.col("block_threshold"))
+
+
+def to_dict(policy: dict) -> dict:
+    """A parsed policy with what holds for each agent and for each of its surfaces written out."""
+    d = DEFAULTS | {k: v for k, v in (policy.get("defaults") or {}).items() if v is not None}
+    agents = {}
+    for name, a in (policy.get("agents") or {}).items():
+        a = a or {}
+        own = {k: a.get(k, d[k]) for k in ("use_llm", "llm_threshold", "block_threshold")}
+        surfaces = {}
+        for surface, s in (a.get("surface_overrides") or {}).items():
+            s = s or {}
+            flat = {"inbound_strict": True, "outbound_strict": False, "risk_multiplier": 1.0, "trust_level": "medium"}
+            surfaces[surface] = {"surface": surface} | {k: s.get(k, v) for k, v in (own | flat).items()}
+        listed = {k: list(a.get(k) or []) for k in ("allowed_surfaces", "protected_names", "disabled_cred_rules")}
+        agents[name] = {"name": name, **listed, "surface_overrides": surfaces, "check_credentials": a.get("check_credentials", d["check_credentials"]), **own}
+    return {"version": int(policy.get("version", 1)), "defaults": policy.get("defaults") or {}, "agents": agents, "global_surface_overrides": policy.get("surfaces") or {}}
+
+
 def privacy_config(agent: dict, check_credentials: bool = True) -> PrivacyConfig:
     """The outbound configuration of one agent of a parsed policy; all categories stay on."""
-    on = agent.get("check_credentials")
+    on, judge_from = agent.get("check_credentials"), agent.get("llm_threshold")
     return PrivacyConfig(
         protected_names=tuple(agent.get("protected_names") or ()),
         categories=CATEGORIES,
         check_credentials=check_credentials if on is None else on,
         disabled_rules=tuple(agent.get("disabled_cred_rules") or ()),
         check_high_entropy=bool(agent.get("check_high_entropy")),
+        judge_from=DEFAULTS["llm_threshold"] if judge_from is None else float(judge_from),
     )
 
 

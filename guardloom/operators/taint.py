@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from guardloom.functions import scoring as S
 from guardloom.functions.dialect import PLAIN_FLAGS, java
 from guardloom.functions.rules import PARAMETERS, TAINT_SOURCES, TOOL_SINKS
+from guardloom.sources.shared import discard, settle
 
 MOST_ENTRIES = 1000
 SINK_OF = {tool: sink for sink, tools in TOOL_SINKS.items() for tool in tools}
@@ -52,20 +53,58 @@ def evict(entries: DataFrame, by: list[str], newest: list[str], most: int = MOST
 
 def propagate(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """Entries (taint_id, content_hash, source, path) and all that edges (parent_id, child_id,
-    next_surface) derive from them.  Edges from unknown ids derive nothing.  Chains longer than the session's
-    ``spark.sql.cteRecursionLevelLimit`` (100), and cycles, end in an error."""
-    spark = entries.sparkSession
-    roots = entries.select("taint_id", "content_hash", "source", "path", F.lit(0).alias("depth"))
-    roots.createOrReplaceTempView("_taint_roots")
-    edges.createOrReplaceTempView("_taint_edges")
-    return spark.sql("""
-        WITH RECURSIVE reached AS (
-          SELECT * FROM _taint_roots
-          UNION ALL
-          SELECT e.child_id, substring(sha2(concat(r.content_hash, e.next_surface), 256), 1, 16), r.source,
-                 concat(r.path, array(e.next_surface)), r.depth + 1
-          FROM reached r JOIN _taint_edges e ON r.taint_id = e.parent_id)
-        SELECT * FROM reached""")
+    next_surface) derive from them, with ``depth``, the number of steps.
+
+    An id is made once: of several edges into one id the smallest (parent_id, next_surface)
+    counts, and none into an id that is an entry.  Edges from unknown ids derive nothing, so
+    neither do cycles.  Repeated entries derive as often.  Null ids are not followed; a null
+    surface counts as empty.
+
+    Chains have any length: each id points to the one above it, and each round takes all
+    pointers twice as far, so a chain of n steps needs about log2(n) joins.  Rounds are
+    written to the shared folder; they end when none gets any further.
+    """
+    roots = entries.select("taint_id", "content_hash", "source", "path")
+    surface = F.coalesce("next_surface", F.lit("")).alias("next_surface")
+    known = edges.where("parent_id IS NOT NULL AND child_id IS NOT NULL").select("child_id", "parent_id", surface)
+    first = known.groupBy("child_id").agg(F.min(F.struct("parent_id", "next_surface")).alias("edge"))
+    first = first.join(roots.select(F.col("taint_id").alias("child_id")), "child_id", "left_anti")
+    now = settle(first.select("child_id", F.col("edge.parent_id").alias("above"), F.array("edge.next_surface").alias("steps")), "taint-edges")
+    before = now.count()
+    while before:
+        jump = now.select(F.col("child_id").alias("j_id"), F.col("above").alias("j_above"), F.col("steps").alias("j_steps"))
+        moved = now.join(jump, F.col("above") == F.col("j_id"), "left").select(
+            "child_id",
+            F.coalesce("j_above", "above").alias("above"),
+            F.when(F.col("j_id").isNotNull(), F.concat("j_steps", "steps")).otherwise(F.col("steps")).alias("steps"),
+            F.col("j_id").isNotNull().alias("moved"),
+        )
+        after = settle(moved, "taint-edges")
+        n = after.where("moved").count()
+        discard(now)
+        now = after.drop("moved")
+        if n == before:  # what still moves goes in circles
+            break
+        before = n
+    reached = now.join(roots, now["above"] == roots["taint_id"])
+    derived = reached.select(
+        F.col("child_id").alias("taint_id"),
+        F.aggregate("steps", F.col("content_hash"), lambda h, s: short_hash(F.concat(h, s))).alias("content_hash"),
+        "source",
+        F.concat("path", "steps").alias("path"),
+        F.size("steps").alias("depth"),
+    )
+    return roots.withColumn("depth", F.lit(0)).unionByName(derived)
+
+
+def get_entry(entries: DataFrame, taint_id: str) -> DataFrame:
+    """The registry's entry of one id: a row or none."""
+    return entries.where(F.col("taint_id") == taint_id)
+
+
+def cleared(entries: DataFrame) -> DataFrame:
+    """An empty registry with the same columns."""
+    return entries.limit(0)
 
 
 def parameter_hits(text: Column) -> Column:
@@ -92,7 +131,7 @@ def check_calls(calls: DataFrame, entries: DataFrame) -> DataFrame:
     named = scanned.withColumn("sink", sink)
     wanted = named.select("call_id", F.posexplode("taint_ids").alias("pos", "taint_id")).join(
         entries.select("taint_id", "source", "path"), "taint_id"
-    )
+    )  # a hot id: many small rows against one, which adaptive execution splits
     first = wanted.groupBy("call_id").agg(F.min_by(F.struct("taint_id", "source", "path"), "pos").alias("entry"))
     joined = named.join(first, "call_id", "left")
     return scored(joined)
@@ -122,5 +161,20 @@ def scored(joined: DataFrame) -> DataFrame:
             "is_safe": ~flow & (F.col("raw_score") < 0.45),
             "source": F.coalesce(F.col("entry.source"), F.lit("none")),
             "path": F.when(tainted, F.concat(F.col("entry.path"), F.array(F.concat(F.lit("tool:"), "tool")))),
+            "explanation": explained(tainted),
         }
     ).drop("entry")
+
+
+def explained(tainted: Column) -> Column:
+    """Fixed texts: what a call's score rests on, for a flow, for patterns alone, and for neither."""
+    texts = F.array(*[F.lit(f"Dangerous pattern in params: {p[:50]}") for p, _ in PARAMETERS])
+    found = F.array_join(F.transform(F.slice("param_hits", 1, 3), lambda i: F.element_at(texts, i)), "; ")
+    some = F.size("param_hits") > 0
+    flow = F.concat(
+        F.lit("Clinejection risk: tainted content from "), "entry.source", F.lit(" flowing into "), "sink", F.lit(" via tool '"), "tool", F.lit("'"),
+        F.when(some, F.concat(F.lit(". "), found)).otherwise(""),
+    )
+    alone = F.concat(F.lit("Dangerous patterns in tool '"), "tool", F.lit("' params: "), found)
+    neither = F.concat(F.lit("Tool call '"), "tool", F.lit("' to sink "), "sink", F.lit(" — no taint detected"))
+    return F.when(tainted & (F.col("sink") != "none"), flow).when(some, alone).otherwise(neither)
