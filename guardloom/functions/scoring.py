@@ -120,3 +120,26 @@ def judged(findings: Column, some: str, none: str) -> dict[str, Column]:
         "matched_rules": labels,
         "explanation": F.when(F.col("_blank"), "Empty input").otherwise(explanation(labels, some, none)),
     }
+
+
+#: What a result says of itself, in order.
+RESULT_KEYS = ("threat_level", "threat_types", "risk_score", "is_safe", "blocked", "explanation", "surface", "judge_used", "matched_rules")
+
+
+def result_json(columns: Sequence[str]) -> Column:
+    """A checked row as a JSON object: RESULT_KEYS, judge_used false where no judge was asked,
+    and for tool calls what is known of their taint."""
+    own = [F.lit(False).alias(k) if k == "judge_used" and k not in columns else F.col(k) for k in RESULT_KEYS]
+    flow = ("tainted", "source", "sink", "path", "dangerous_flow")
+    if set(flow) <= set(columns):
+        own.append(F.when(F.col("tainted"), F.struct(*flow)).alias("taint"))
+    return F.to_json(F.struct(*own))
+
+
+def result_text() -> Column:
+    """A checked row in one line, for logs."""
+    types = F.when(F.size("threat_types") > 0, F.array_join("threat_types", ", ")).otherwise("none")
+    return F.concat(
+        F.lit("Result(level="), "threat_level", F.lit(", score="), F.format_string("%.3f", "risk_score"),
+        F.lit(", types=["), types, F.lit("], surface='"), "surface", F.lit("')"),
+    )

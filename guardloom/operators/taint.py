@@ -116,19 +116,21 @@ def sink_of_tool(tool: Column) -> Column:
     return _map(SINK_OF, F.lower(F.regexp_replace(tool, r"(?U)^\s+|\s+$", "")))
 
 
+def with_sinks(calls: DataFrame, text: str) -> DataFrame:
+    """Adds param_hits and sink to calls with tool and a column of flattened parameters."""
+    sinks = F.array(*[F.lit(s) for _, s in PARAMETERS])
+    found = S.once(F.coalesce(parameter_hits(F.coalesce(F.col(text), F.lit(""))), F.array().cast("array<int>")))
+    last = F.when(F.size("param_hits") > 0, F.element_at(sinks, F.element_at("param_hits", -1)))
+    return calls.withColumn("param_hits", found).withColumn("sink", F.coalesce(sink_of_tool(F.col("tool")), last, F.lit("none")))
+
+
 def check_calls(calls: DataFrame, entries: DataFrame) -> DataFrame:
     """Calls (call_id, tool, params_text, taint_ids) with sink, taint and score.
 
     The first of a call's ids that the registry knows is its taint.  The sink is the tool's
     own, or else that of the last matching parameter pattern.
     """
-    sinks = F.array(*[F.lit(s) for _, s in PARAMETERS])
-    found = S.once(F.coalesce(parameter_hits(F.coalesce("params_text", F.lit(""))), F.array().cast("array<int>")))
-    scanned = calls.withColumn("param_hits", found)
-    sink = F.coalesce(
-        sink_of_tool(F.col("tool")), F.when(F.size("param_hits") > 0, F.element_at(sinks, F.element_at("param_hits", -1))), F.lit("none")
-    )
-    named = scanned.withColumn("sink", sink)
+    named = with_sinks(calls, "params_text")
     wanted = named.select("call_id", F.posexplode("taint_ids").alias("pos", "taint_id")).join(
         entries.select("taint_id", "source", "path"), "taint_id"
     )  # a hot id: many small rows against one, which adaptive execution splits

@@ -12,7 +12,7 @@ from guardloom.functions.rules import CREDENTIALS, INBOUND, PERSONAL
 from guardloom.operators import inbound, judge, outbound
 from guardloom.operators.outbound import PrivacyConfig
 from guardloom.plans import analytics, sql, tool_queries
-from guardloom.plans.fixtures import INBOUND_PAYLOADS, NAMES, OUTBOUND_PAYLOADS, with_payload
+from guardloom.plans.fixtures import INBOUND_PAYLOADS, NAMES, OUTBOUND_PAYLOADS, REPLIES, REWRITES, pick, with_payload
 from guardloom.sources.readers import read_table, spread
 from guardloom.streaming import queries as streams
 
@@ -22,13 +22,15 @@ RAW_DOCS = "SELECT doc_id AS id, text, 'public' AS surface FROM documents"
 IN_DOCS = sql.payload_rows("documents", "doc_id", INBOUND_PAYLOADS)
 OUT_DOCS = sql.payload_rows("documents", "doc_id", OUTBOUND_PAYLOADS)
 PAGES = "SELECT page_id AS id, html AS text, 'web-page' AS surface FROM pages"
-TURN_KEY = "(conv_id * 1000 + turn)"
+TURN_KEY = "(conv_id * 1000000 + turn)"
 IN_TURNS = sql.payload_rows(f"(SELECT {TURN_KEY} AS id, text FROM conversations WHERE role = 'user')", "id", INBOUND_PAYLOADS)
 OUT_TURNS = sql.payload_rows(f"(SELECT {TURN_KEY} AS id, text FROM conversations WHERE role = 'assistant')", "id", OUTBOUND_PAYLOADS)
 ENTROPY = PrivacyConfig(check_high_entropy=True, categories=())
 NAMED = PrivacyConfig(protected_names=NAMES)
 NARROW = ("financial", "health")
 DISABLED = ("CRED_007", "CRED_002")
+#: Findings of scans that are no single rule.
+OTHER_FINDINGS = ("homoglyphs", "NLP-HEADING-LINE", "NLP-AUTHORITY", "NLP-HIDDEN", "high_entropy")
 
 
 def texts(spark, d, name, key, *columns):
@@ -54,7 +56,7 @@ def pages(spark, d):
 
 def turns(spark, d, role, payloads):
     rows = spread(read_table(spark, d, "conversations").where(F.col("role") == role).select("conv_id", "turn", "text"))
-    return with_payload(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text"), "key", payloads)
+    return with_payload(rows.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("key"), "text"), "key", payloads)
 
 
 def joined(column: str):
@@ -195,6 +197,17 @@ def outbound_status_dict(spark, d):
     return out.select("id", word, F.when(~F.col("is_safe"), F.col("sanitized")).alias("redacted"), "risk_score")
 
 
+@query(f"SELECT id, CASE WHEN is_safe THEN 'SAFE' WHEN blocked THEN 'BLOCK' ELSE 'WARN' END AS status, CASE WHEN is_safe THEN text ELSE sanitized END AS text, rules FROM ({sql.sanitized(OUT_TURNS)})")
+def outbound_status_tuple(spark, d):
+    out = outbound.sanitize(turns(spark, d, "assistant", OUTBOUND_PAYLOADS))
+    return out.select("id", S.status(F.col("threat_level"), S.OUTBOUND_WORDS).alias("status"), F.col("sanitized").alias("text"), rules_text())
+
+
+@query(f"SELECT id, explanation FROM ({sql.outbound(OUT_DOCS)})")
+def outbound_explanation(spark, d):
+    return outbound.check_outbound(out_docs(spark, d)).select("id", "explanation")
+
+
 @query(f"SELECT id, explanation FROM ({sql.inbound(IN_DOCS)})")
 def inbound_explanation(spark, d):
     return inbound.check_inbound(in_docs(spark, d)).select("id", "explanation")
@@ -225,6 +238,73 @@ def judge_merge(spark, d):
     return merged.select("id", "threat_level", "risk_score", "judge_used")
 
 
+_REPLY_SQL = "(" + "[" + ", ".join("NULL" if r is None else sql.q(r) for r in REPLIES) + "]" + f")[(id % {len(REPLIES)}) + 1]"
+_REWRITE_SQL = "(" + "[" + ", ".join("NULL" if r is None else sql.q(r) for r in REWRITES) + "]" + f")[(id % {len(REWRITES)}) + 1]"
+
+
+def _judged_sql(checked: str, least: float, types: str) -> str:
+    return f"""SELECT id, CASE WHEN used THEN CASE WHEN told->>'$.threat_level' IN ('clean', 'low', 'medium', 'high', 'blocked') THEN told->>'$.threat_level' ELSE 'medium' END ELSE threat_level END AS threat_level,
+        CASE WHEN used AND json_exists(told, '$.risk_score') THEN round_even((told->>'$.risk_score')::DOUBLE, 3) ELSE risk_score END AS risk_score, used AS judge_used,
+        CASE WHEN used AND json_exists(told, '$.explanation') THEN told->>'$.explanation' ELSE explanation END AS explanation, {types} AS types
+      FROM (SELECT *, NOT blank AND risk_score >= {least}e0 AND risk_score < 0.9e0 AND told IS NOT NULL AND coalesce(json_type(told->'$.risk_score'), 'DOUBLE') = 'DOUBLE' AS used
+            FROM (SELECT *, CASE WHEN json_valid(bare) THEN bare::JSON END AS told FROM (SELECT *, regexp_replace(regexp_replace({_REPLY_SQL}, '^```json', ''), '```$', '') AS bare FROM ({checked}))))"""
+
+
+@query(_judged_sql(sql.inbound(IN_DOCS), 0.35, "array_to_string(list_sort(list_distinct(list_concat(string_split(types, ',')[1:CASE WHEN types = '' THEN 0 ELSE 99 END], CASE WHEN used AND (id % 7) = 0 THEN ['social_engineering'] ELSE [] END))), ',')"))
+def judge_replies(spark, d):
+    """Verdicts read from a judge's replies, over texts that came in."""
+    checked = inbound.check_inbound(in_docs(spark, d))
+    told = checked.where("needs_judge").select("id", pick(REPLIES, F.col("id")).alias("reply"))
+    return judge.merge(checked, judge.read_verdicts(told, "id"), "id").select("id", "threat_level", "risk_score", "judge_used", "explanation", types_text())
+
+
+@query(_judged_sql(sql.outbound(OUT_DOCS), 0.3, "types"))
+def outbound_judge(spark, d):
+    """The same over texts that go out: types are the check's."""
+    checked = outbound.check_outbound(out_docs(spark, d))
+    told = checked.where("needs_judge").select("id", pick(REPLIES, F.col("id")).alias("reply"))
+    return judge.merge(checked, judge.read_verdicts(told, "id"), "id", types=False).select("id", "threat_level", "risk_score", "judge_used", "explanation", types_text())
+
+
+@query(
+    f"""SELECT id, threat_level, CASE WHEN is_safe THEN text WHEN blocked THEN {sql.q(outbound.BLOCKED_TEXT)} WHEN trim(said) = 'BLOCKED' THEN {sql.q(outbound.BLOCKED_TEXT)}
+        WHEN trim(said) <> '' THEN trim(said) ELSE redacted END AS sanitized FROM (SELECT *, {_REWRITE_SQL} AS said FROM ({sql.sanitized(OUT_DOCS)}))"""
+)
+def outbound_rewrite(spark, d):
+    """Texts that are neither safe nor blocked, rewritten by a judge where it has an answer."""
+    out = outbound.sanitize(out_docs(spark, d))
+    told = out.where(judge.needs_rewrite()).select("id", pick(REWRITES, F.col("id")).alias("rewrite"))
+    return judge.rewritten(out, told, "id").select("id", "threat_level", "sanitized")
+
+
+@query(
+    f"""SELECT id, 'Result(level=' || threat_level || ', score=' || printf('%.3f', risk_score) || ', types=[' || CASE WHEN types = '' THEN 'none' ELSE replace(types, ',', ', ') END || '], surface=' || chr(39) || surface || chr(39) || ')' AS said,
+        threat_level AS level, risk_score AS risk, is_safe, rules FROM ({sql.inbound(IN_DOCS)})"""
+)
+def result_texts(spark, d):
+    """Results as a line of text and as JSON, read back."""
+    checked = inbound.check_inbound(in_docs(spark, d))
+    told = checked.select("id", S.result_text().alias("said"), S.result_json(checked.columns).alias("json"))
+    read = F.from_json("json", "threat_level string, risk_score double, is_safe boolean, matched_rules array<string>")
+    return told.select("id", "said", read["threat_level"].alias("level"), read["risk_score"].alias("risk"), read["is_safe"].alias("is_safe"), joined(read["matched_rules"]).alias("rules"))
+
+
+_ALL_RULES = ", ".join(f"({sql.q(x)})" for x in (*(r.id for r in (*INBOUND, *PERSONAL, *CREDENTIALS)), *OTHER_FINDINGS))
+
+
+@query(
+    f"""SELECT r.rule, count(f.rule) AS n FROM (VALUES {_ALL_RULES}) AS r(rule) LEFT JOIN (
+          SELECT unnest(labels) AS rule FROM ({sql.inbound(IN_DOCS)}) UNION ALL SELECT unnest(labels) FROM ({sql.outbound(OUT_DOCS, entropy=True)})) f ON f.rule = r.rule GROUP BY r.rule"""
+)
+def rule_coverage(spark, d):
+    """How many findings each rule has over texts with payloads, in either direction."""
+    came = inbound.check_inbound(in_docs(spark, d)).select(F.explode("matched_rules").alias("rule"))
+    went = outbound.check_outbound(out_docs(spark, d), config=PrivacyConfig(check_high_entropy=True)).select(F.explode("matched_rules").alias("rule"))
+    counts = came.union(went).groupBy("rule").agg(F.count("*").alias("n"))
+    names = [(x,) for x in (*(r.id for r in (*INBOUND, *PERSONAL, *CREDENTIALS)), *OTHER_FINDINGS)]
+    return spark.createDataFrame(names, "rule string").join(counts, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 _RULE_ROWS = ", ".join(f"({sql.q(r.id)}, {sql.q(r.type)}, {r.base}e0)" for r in (*INBOUND, *PERSONAL, *CREDENTIALS))
 
 
@@ -243,6 +323,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     out = {name: text for name, (_, text) in _Q.items() if text is not None}
-    out |= tool_queries.oracle_sql() | analytics.oracle_sql()
-    return out | {"stream_toolcall_decide": out["toolcall_decide"]}
+    return out | tool_queries.oracle_sql() | analytics.oracle_sql()
 

@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardloom.operators import taint
+from guardloom.sources.shared import settle, shared_folder
 from guardloom.streaming import registry, stateless
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder where the session keeps its checkpoints, or a temporary one of a single process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="guardloom-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def replay(spark: SparkSession, rows: DataFrame, work, out: str) -> DataFrame:
     """Writes ``rows`` to a folder, streams them through ``work`` and reads what came out."""
-    base = shared(spark)
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{base}/in")
     stream = work(stateless.read_lines(spark, f"{base}/in", rows.schema.simpleString()[7:-1].replace(":", " ")))
     writer = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
@@ -38,7 +28,9 @@ def stream_toolcall_decide(spark: SparkSession, d: str) -> DataFrame:
     from guardloom.plans import tool_queries
 
     lines = tool_queries._lines(spark, d)
-    return replay(spark, lines, stateless.decide_lines, "line_id call_risk blocked_call should_forward warn")
+    newest = tool_queries._entries(spark, d).orderBy(F.desc("event_id")).limit(taint.MOST_ENTRIES)  # what a registry keeps
+    known = settle(newest.select("taint_id", "source", "path"), "stream-registry")
+    return replay(spark, lines, lambda s: stateless.decide_lines(s, registry=known, key=("line_id",)), "line_id batch_pos call_risk blocked_call should_forward warn")
 
 
 def stream_taint(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +40,7 @@ def stream_taint(spark: SparkSession, d: str) -> DataFrame:
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
-        return replay(spark, tool_queries.tracked_events(spark, d), registry.track, "tracker_id seq tool sink tainted source path raw_score")
+        return replay(spark, tool_queries.tracked_events(spark, d), lambda s: registry.track(s, most=tool_queries.TRACKED), "tracker_id seq tool sink tainted source path raw_score")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 

@@ -11,13 +11,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from guardloom.operators import taint
 
-#: kind: mark, propagate or call.  taint_ids: of a call, or the parent of a propagation.
+#: kind: mark, propagate, call or clear.  taint_ids: of a call, or the parent of a propagation.
 EVENTS = "tracker_id string, seq long, ts timestamp, kind string, taint_id string, source string, surface string, tool string, sink string, param_hit boolean, taint_ids array<string>"
 RESULT = "tracker_id string, seq long, tool string, sink string, tainted boolean, source string, path string, raw_score double"
 
 
 class TaintRegistry(StatefulProcessor):
-    """One registry per tracker; the oldest entry goes when there are more than ``most``."""
+    """One registry per tracker; the oldest entry goes when there are more than ``most``.
+
+    A micro-batch reads the registry once and writes what changed; in between its entries,
+    ``most`` of them at most, are a dictionary in order of time."""
 
     def __init__(self, most: int = taint.MOST_ENTRIES):
         self.most = most
@@ -26,32 +29,42 @@ class TaintRegistry(StatefulProcessor):
         self.entries = handle.getMapState("entries", "taint_id string", "source string, path string, ts double, seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = {k[0]: tuple(v) for k, v in self.entries.iterator()}
+        held = dict(sorted(before.items(), key=lambda kv: kv[1][2:]))
         out = []
         for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).to_dict("records"):
-            if r["kind"] == "mark":
-                self._add(r["taint_id"], r["source"], r["surface"], r)
+            if r["kind"] == "clear":
+                held.clear()
+            elif r["kind"] == "mark":
+                self._add(held, r["taint_id"], r["source"], r["surface"], r)
             elif r["kind"] == "propagate":
-                parent = self._find(r["taint_ids"])
+                parent = self._find(held, r["taint_ids"])
                 if parent is not None:
-                    self._add(r["taint_id"], parent[0], f"{parent[1]}>{r['surface']}", r)
+                    self._add(held, r["taint_id"], parent[0], f"{parent[1]}>{r['surface']}", r)
             else:
-                entry = self._find(r["taint_ids"])
-                out.append(self._score(key[0], r, entry))
-        names = [x.split()[0] for x in RESULT.split(", ")]
-        yield pd.DataFrame(out, columns=names)
-
-    def _find(self, ids):
-        for i in ids if ids is not None else ():
-            if self.entries.containsKey((i,)):
-                return self.entries.getValue((i,))
-        return None
-
-    def _add(self, taint_id, source, path, row) -> None:
-        self.entries.updateValue((taint_id,), (source, path, row["ts"].timestamp(), int(row["seq"])))
-        held = list(self.entries.iterator())
+                out.append(self._score(key[0], r, self._find(held, r["taint_ids"])))
+        for k in before.keys() - held.keys():
+            self.entries.removeKey((k,))
+        for k, v in held.items():
+            if before.get(k) != v:
+                self.entries.updateValue((k,), v)
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
+
+    @staticmethod
+    def _find(held, ids):
+        return next((held[i] for i in (ids if ids is not None else ()) if i in held), None)
+
+    def _add(self, held, taint_id, source, path, row) -> None:
+        new = (source, path, row["ts"].timestamp(), int(row["seq"]))
+        late = held and next(reversed(held.values()))[2:] > new[2:]
+        held.pop(taint_id, None)
+        held[taint_id] = new
+        if late:  # an event older than what earlier batches brought
+            ordered = sorted(held.items(), key=lambda kv: kv[1][2:])
+            held.clear()
+            held.update(ordered)
         if len(held) > self.most:
-            oldest = min(held, key=lambda kv: (kv[1][2], kv[1][3]))
-            self.entries.removeKey(oldest[0])
+            del held[next(iter(held))]
 
     @staticmethod
     def _score(tracker, row, entry) -> tuple:
