@@ -1,14 +1,18 @@
 """Harmonic packing of documents into sequences of a fixed capacity.
 
-Class k holds pieces of length capacity / k and fills each of its sequences with exactly
-k of them.  Documents may be cut, so each is cut along the binary digits of its length:
-whole capacities first, then capacity/2, capacity/4, ... 1, each at most once.  A piece
-then has exactly its class's size, and a full sequence has no padding.  What a worker's
-last open sequence of a class holds is dealt to sequences of 2**b pieces by the digits
-of its count; their lengths are powers of two, which need no padding either.
-
-Workers pack on their own, in the task that reads the texts: no shuffle, and no state
-but the open sequence of each class.
+A document of n tokens is of class k = capacity // n: its length is more than capacity /
+(k + 1) and at most capacity / k, so a sequence of class k takes exactly k of them, whole.
+Longer documents are cut at multiples of the capacity; what is left of them is of a class
+like any other.  What a class's sequence leaves open is filled with the document that comes
+next, cut where the sequence ends; its rest fills the sequences that close after it.  So
+there is no padding, and few documents are cut more than once.
+
+At its end a worker lays what its classes still hold end to end, cuts that into whole
+sequences, and the last rest into sequences by the binary digits of its length: powers of
+two, which need no padding either.
+
+Workers pack on their own, in the task that reads the texts: no shuffle, and no state but
+the open sequence of each class, of which there are about 2 * sqrt(capacity) at most.
 """
 
 from __future__ import annotations
@@ -27,13 +31,12 @@ from guardloom.llm.wordpiece import WordIds, encode, slices
 
 CAPACITY = 4096
 CLOSING_ID = 2
-#: Bits of a sequence id below the worker's number; the upper half is for closing sequences.
+#: Bits of a sequence id below the worker's number.
 WORKER_SHIFT = 40
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
-_FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")
 
 
 def default_tokenizer() -> str:
@@ -42,66 +45,105 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def cut(tokens: np.ndarray, capacity: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each class size: (size, document number, start) of its pieces."""
-    whole = tokens // capacity
-    docs = np.repeat(np.arange(len(tokens)), whole)
-    turn = np.arange(len(docs)) - np.repeat(np.cumsum(whole) - whole, whole)
-    yield capacity, docs, turn * capacity
-    size = capacity // 2
-    while size:
-        docs = np.flatnonzero(tokens & size)
-        yield size, docs, tokens[docs] // (2 * size) * (2 * size)
-        size //= 2
+#: doc_id, start, length, doc_tokens and the ids' bytes of a piece.
+Piece = tuple[int | None, int, int, int, bytes]
+
+
+def split(piece: Piece, length: int) -> tuple[Piece, Piece]:
+    """The first ``length`` ids of a piece, and the rest."""
+    doc, start, size, tokens, raw = piece
+    return (doc, start, length, tokens, raw[: 4 * length]), (doc, start + length, size - length, tokens, raw[4 * length :])
 
 
 class Packer:
-    """The open sequences of one worker."""
+    """The open sequences of one worker; ``out`` gets (piece, sequence_id, offset)."""
 
-    def __init__(self, worker: int, capacity: int = CAPACITY):
+    def __init__(self, worker: int, out: list, capacity: int = CAPACITY):
         if capacity < 1 or capacity & (capacity - 1):
             raise ValueError("capacity must be a power of two")
-        self.capacity, self.base = capacity, worker << WORKER_SHIFT
-        self.open: dict[int, list[tuple]] = {}
-        self.filled = 0
-        self.closing = 1 << (WORKER_SHIFT - 1)
-
-    def add(self, size: int, pieces: list[tuple]) -> Iterator[tuple[tuple, int, int]]:
-        """(piece, sequence_id, offset) of the sequences that these pieces fill."""
-        held = self.open.get(size, []) + pieces
-        each = self.capacity // size
-        done = len(held) // each * each
-        for i in range(0, done, each):
-            for j in range(each):
-                yield held[i + j], self.base + self.filled, j * size
-            self.filled += 1
-        self.open[size] = held[done:]
-
-    def close(self) -> Iterator[tuple[tuple, int, int]]:
-        for size, held in self.open.items():
-            at = 0
-            while at < len(held):
-                count = 1 << ((len(held) - at).bit_length() - 1)
-                for j in range(count):
-                    yield held[at + j], self.base + self.closing, j * size
-                self.closing += 1
-                at += count
-        self.open = {}
+        self.capacity, self.sequence, self.out = capacity, worker << WORKER_SHIFT, out
+        self.open: dict[int, list[Piece]] = {}
+        self.filling: list[Piece] = []  # a sequence that waits for ``gap`` tokens
+        self.gap = 0
+        self.rest: Piece | None = None  # of the document that fills gaps
+
+    def emit(self, pieces: list[Piece]) -> None:
+        at = 0
+        for p in pieces:
+            self.out.append((p, self.sequence, at))
+            at += p[2]
+        self.sequence += 1
+
+    def fill(self, piece: Piece) -> None:
+        """Puts a piece into the gap; what it leaves over fills the next ones."""
+        if piece[2] > self.gap:
+            piece, self.rest = split(piece, self.gap)
+        self.filling.append(piece)
+        self.gap -= piece[2]
+        if not self.gap:
+            self.emit(self.filling)
+            self.filling = []
+
+    def add(self, piece: Piece) -> None:
+        """A document, or what is left of one, of ``capacity`` tokens at most."""
+        if self.gap:
+            self.fill(piece)
+            return
+        count = self.capacity // piece[2]
+        held = self.open.setdefault(count, [])
+        held.append(piece)
+        if len(held) == count:
+            del self.open[count]
+            self.gap = self.capacity - sum(p[2] for p in held)
+            if not self.gap:
+                self.emit(held)
+                return
+            self.filling = held
+            if self.rest is not None:
+                rest, self.rest = self.rest, None
+                self.fill(rest)
+
+    def close(self) -> None:
+        held = self.filling + ([self.rest] if self.rest is not None else [])
+        for pieces in self.open.values():
+            held += pieces
+        self.filling, self.gap, self.rest, self.open = [], 0, None, {}
+        left = sum(p[2] for p in held)
+        room, now = self._room(left), []
+        for p in held:
+            while p[2] >= room > 0:
+                first, p = split(p, room)
+                self.emit([*now, first])
+                left -= sum(x[2] for x in now) + room
+                room, now = self._room(left), []
+            if p[2]:
+                now.append(p)
+                room -= p[2]
+
+    def _room(self, left: int) -> int:
+        """Of ``left`` tokens, how many the next closing sequence takes."""
+        return self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1) if left else 0
 
 
 def _pack_batches(path: str, capacity: int, closing_id: int, with_ids: bool):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordIds(path), Packer(TaskContext.get().partitionId(), capacity)
-
-        def batch(rows: list[tuple[tuple, int, int]]) -> pa.RecordBatch:
-            columns = list(zip(*[x[0] for x in rows])) if rows else [[] for _ in _FIELDS]
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            arrays = dict(zip(_FIELDS, (pa.array(c, k) for c, k in zip(columns, kinds))))
-            arrays["sequence_id"] = pa.array([x[1] for x in rows], pa.int64())
-            arrays["offset"] = pa.array([x[2] for x in rows], pa.int64())
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            return pa.RecordBatch.from_arrays([arrays[x] for x in names], names)
+        rows: list[tuple[Piece, int, int]] = []
+        words, packer = WordIds(path), Packer(TaskContext.get().partitionId(), rows, capacity)
+
+        def batch() -> pa.RecordBatch:
+            long = lambda values: pa.array(values, pa.int64())
+            pieces = [x[0] for x in rows]
+            arrays = [
+                *(long([p[i] for p in pieces]) for i in range(3)),
+                long([zlib.crc32(p[4]) for p in pieces]),
+                long([p[3] for p in pieces]),
+                long([x[1] for x in rows]),
+                long([x[2] for x in rows]),
+                pa.array([p[4] if with_ids else None for p in pieces], pa.binary()),
+            ]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCHEMA.split(", ")])
 
         for whole in batches:
             for first, end in slices(whole.column("text")):
@@ -110,15 +152,18 @@ def _pack_batches(path: str, capacity: int, closing_id: int, with_ids: bool):
                 doc_ids = part.column("doc_id").to_pylist()
                 tokens = np.diff(ends, prepend=0)
                 begins = (ends - tokens).tolist()
-                counts, view, rows = tokens.tolist(), memoryview(ids).cast("B"), []
-                for size, docs, starts in cut(tokens, capacity):
-                    pieces = []
-                    for d, s in zip(docs.tolist(), starts.tolist()):
-                        raw = view[4 * (begins[d] + s) : 4 * (begins[d] + s + size)]
-                        pieces.append((doc_ids[d], s, size, zlib.crc32(raw), counts[d], bytes(raw) if with_ids else None))
-                    rows += packer.add(size, pieces)
-                yield batch(rows)
-        yield batch(list(packer.close()))
+                view = memoryview(ids).cast("B")
+                for doc_id, begin, n in zip(doc_ids, begins, tokens.tolist()):
+                    for start in range(0, n, capacity):
+                        size = min(capacity, n - start)
+                        piece = (doc_id, start, size, n, bytes(view[4 * (begin + start) : 4 * (begin + start + size)]))
+                        if size == capacity:
+                            packer.emit([piece])
+                        else:
+                            packer.add(piece)
+                yield batch()
+        packer.close()
+        yield batch()
 
     return run
 
@@ -134,8 +179,9 @@ def pack(
 
     ``docs`` needs doc_id and text; other columns are ignored.  ``ids`` are little-endian
     unsigned 32-bit ids (null without ``with_ids``).  A null or empty text is the closing
-    id alone; a null doc_id stays null; repeated rows are packed as often as they occur.
-    ``capacity`` must be a power of two.
+    id alone; a null doc_id stays null; repeated rows are packed as often as they occur; a
+    text of any length is tokenized whole.  An empty table gives no rows.  ``capacity`` must
+    be a power of two.  ``ids_crc32`` and lengths are of the piece, ``doc_tokens`` of its document.
     """
     path = tokenizer_path or default_tokenizer()
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -194,3 +194,44 @@ def test_cumulative_link_gradient():
     model = quality.fit(x, y, steps=1500, penalty=0)
     assert model.weights == pytest.approx([2.0, -1.0, 0.0], abs=0.45)
     assert model.thresholds == pytest.approx([-1.0, 0.5, 2.0], abs=0.5)
+
+
+# harmonic classes
+def packed(lengths, capacity=64):
+    out = []
+    packer = packing.Packer(0, out, capacity)
+    for i, n in enumerate(lengths):
+        for start in range(0, n, capacity):
+            size = min(capacity, n - start)
+            piece = (i, start, size, n, bytes(4 * size))
+            packer.emit([piece]) if size == capacity else packer.add(piece)
+    packer.close()
+    return out
+
+
+@pytest.mark.parametrize("lengths", [[], [1], [64], [33] * 7, [1] * 200, [30, 20, 10] * 40, [200, 3, 64, 65, 128], list(range(1, 150))])
+def test_sequences_are_full_or_powers_of_two(lengths):
+    found, ends, starts = packed(lengths), {}, {}
+    for (doc, start, size, n, raw), sequence, offset in found:
+        assert offset == ends.get(sequence, 0) and len(raw) == 4 * size and size
+        ends[sequence] = offset + size
+        starts.setdefault(doc, []).append((start, size))
+    assert all(e <= 64 and e & (e - 1) == 0 for e in ends.values())
+    for i, n in enumerate(lengths):
+        at = 0
+        for start, size in sorted(starts[i]):
+            assert start == at
+            at += size
+        assert at == n
+
+
+def test_a_class_fills_its_sequences_with_its_number_of_documents():
+    found = packed([20] * 30 + [25] * 30)  # classes 3 and 2
+    whole = {}
+    for (doc, _, size, n, _), sequence, _ in found:
+        if size == n:
+            whole.setdefault(sequence, []).append(n)
+    assert [20, 20, 20] in whole.values() and [25, 25] in [w[:2] for w in whole.values()]
+    rng = random.Random(0)
+    many = packed([max(1, int(rng.lognormvariate(2, 1))) for _ in range(5000)])
+    assert len(many) < 1.3 * 5000  # few documents are cut
