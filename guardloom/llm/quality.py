@@ -1,8 +1,9 @@
 """Quality by cumulative-link regression on hashed text features.
 
-Grades are ordered.  One weight per hashed feature is shared by all grades; thresholds
-that rise from grade to grade cut the score: P(grade <= g) = sigmoid(threshold_g - score).
-That gives each text an expected grade and a tail probability to select by.
+Grades are ordered.  One weight per hashed feature, of words and of their shapes, is shared by
+all grades; thresholds that rise from grade to grade cut the score: P(grade <= g) =
+sigmoid(threshold_g - score).  That gives each text an expected grade and a tail probability
+to select by.
 """
 
 import zlib
@@ -17,11 +18,17 @@ from pyspark.sql import functions as F
 
 from guardloom.llm.common import lean
 
-BUCKETS = 1024
+#: Hashed weights.
+BUCKETS = 1 << 15
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 6000
-STEPS = 400
+#: Steps of the fit at most; it ends when the gradient is that small.
+STEPS = 100
+LEAST_GRADIENT = 1e-5
+#: Weight of the squared weights in the fit.
 PENALTY = 1e-4
+#: Words weigh less than shapes: most are rare, and a sample shows few of them.
+WORD_SHARE = 0.5
 #: Probability of the highest grade from which a document is kept.
 KEEP_FROM = 0.5
 
@@ -31,35 +38,54 @@ _SHAPE = bytes(
 )
 
 
-def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """The hashed features of a whole text, each the root of a share of its words.
+def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values) of the hashed features of a whole text; a bucket can come twice.
 
-    Features: each word's shape (runs of capitals, small letters, digits and marks), how
-    much of the text its commonest word makes up, how many words are there once, and the
+    Features: each word, small letters or not, and each word's shape (runs of capitals, small
+    letters, digits and marks), by the root of their share of the text; how much of the text its
+    commonest word makes up, how many of its words differ, how many lines there are, and the
     order of its length.
     """
-    out = np.zeros(buckets, dtype=np.float32)
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
-        out[zlib.crc32(b"#none") % buckets] = 1
-        return out
+        return np.array([zlib.crc32(b"#none") % buckets], dtype=np.uint32), np.ones(1, dtype=np.float32)
     marks = np.frombuffer(raw.translate(_SHAPE), dtype=np.uint8)
     kept = marks[np.concatenate([[True], marks[1:] != marks[:-1]])].tobytes()
-    total = 0
-    for shape, n in Counter(kept.split()).items():
-        out[zlib.crc32(shape) % buckets] += n
-        total += n
-    out = np.sqrt(out / total)
-    seen = Counter(words)
-    for name, value in (
-        (b"#most", min(9, 10 * max(seen.values()) // len(words))),
-        (b"#once", min(9, 10 * len(seen) // len(words))),
-        (b"#size", len(words).bit_length()),
-        (b"#lines", min(9, 20 * raw.count(b"\n") // len(words))),
-    ):
-        out[zlib.crc32(b"%s:%d" % (name, value)) % buckets] += 1
-    return out
+    shapes, seen = Counter(kept.split()), Counter(words)
+    small = Counter(raw.lower().split())
+    names = [
+        b"#most:%d" % min(9, 10 * max(seen.values()) // len(words)),
+        b"#once:%d" % min(9, 10 * len(seen) // len(words)),
+        b"#size:%d" % len(words).bit_length(),
+        b"#lines:%d" % min(9, 20 * raw.count(b"\n") // len(words)),
+    ]
+    n = len(shapes) + len(small)
+    at = np.empty(n + len(names), dtype=np.uint32)
+    at[: len(shapes)] = np.fromiter((zlib.crc32(x, 1) for x in shapes), dtype=np.uint32, count=len(shapes))
+    at[len(shapes) : n] = np.fromiter(map(zlib.crc32, small), dtype=np.uint32, count=len(small))
+    at[n:] = [zlib.crc32(x) for x in names]
+    value = np.ones(len(at), dtype=np.float32)
+    value[: len(shapes)] = np.sqrt(np.fromiter(shapes.values(), dtype=np.float32, count=len(shapes)) / len(words))
+    value[len(shapes) : n] = WORD_SHARE * np.sqrt(np.fromiter(small.values(), dtype=np.float32, count=len(small)) / len(words))
+    return at % np.uint32(buckets), value
+
+
+class Sparse:
+    """Rows of (buckets, values), with the two products that a fit needs."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], buckets: int):
+        sizes = np.array([len(at) for at, _ in rows], dtype=np.int64)
+        self.shape = (len(rows), buckets)
+        self.row = np.repeat(np.arange(len(rows)), sizes)
+        self.at = np.concatenate([at for at, _ in rows]).astype(np.int64) if rows else np.zeros(0, dtype=np.int64)
+        self.value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, dtype=np.float32)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.value * w[self.at], minlength=self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, weights=self.value * g[self.row], minlength=self.shape[1])
 
 
 @dataclass
@@ -68,36 +94,67 @@ class CumulativeLink:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def below(self, x: np.ndarray) -> np.ndarray:
+    def below(self, score: np.ndarray) -> np.ndarray:
         """P(grade <= g) for all grades but the highest."""
-        z = self.thresholds[None, :] - (x @ self.weights)[:, None]
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - score[:, None], -50, 50)))
 
-    def expected(self, x: np.ndarray) -> np.ndarray:
+    def expected(self, score: np.ndarray) -> np.ndarray:
         steps = np.diff(self.grades)
-        return self.grades[0] + ((1 - self.below(x)) * steps).sum(axis=1)
+        return self.grades[0] + ((1 - self.below(score)) * steps).sum(axis=1)
 
-    def tail(self, x: np.ndarray, grade: int) -> np.ndarray:
+    def tail(self, score: np.ndarray, grade: int) -> np.ndarray:
         """P(grade >= ``grade``)."""
         at = self.grades.index(grade)
-        return np.ones(len(x)) if at == 0 else 1 - self.below(x)[:, at - 1]
-
-
-def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> CumulativeLink:
-    """Maximum likelihood by Adam steps on all rows; thresholds stay ordered as sums of exponentials."""
+        return np.ones(len(score)) if at == 0 else 1 - self.below(score)[:, at - 1]
+
+
+def minimise(loss, start: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """L-BFGS with halved steps; ``loss`` gives a value and its gradient."""
+    at, (value, grad) = start, loss(start)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(grad).max() < LEAST_GRADIENT:
+            break
+        way, shares = grad.copy(), []
+        for s, y in reversed(moves):
+            shares.append(s @ way / (s @ y))
+            way -= shares[-1] * y
+        if moves:
+            s, y = moves[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y), share in zip(moves, reversed(shares)):
+            way += (share - y @ way / (s @ y)) * s
+        slope, step = -(grad @ way), 1.0 if moves else min(1.0, 1 / np.abs(grad).sum())
+        while step > 1e-12:
+            new = at - step * way
+            new_value, new_grad = loss(new)
+            if new_value <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        if (new_grad - grad) @ (new - at) > 1e-12:
+            moves = [*moves, (new - at, new_grad - grad)][-memory:]
+        at, value, grad = new, new_value, new_grad
+    return at
+
+
+def fit(x: np.ndarray | Sparse, y: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> CumulativeLink:
+    """Maximum likelihood, less ``penalty`` / 2 times the squared weights, by L-BFGS on all rows;
+    thresholds stay ordered as sums of exponentials."""
     grades = sorted(set(y.tolist()))
-    n, cuts = len(y), len(grades) - 1
+    n, cuts, width = len(y), len(grades) - 1, x.shape[1]
     if cuts < 1:
-        return CumulativeLink(grades, np.zeros(x.shape[1]), np.zeros(0))
+        return CumulativeLink(grades, np.zeros(width), np.zeros(0))
     place = np.searchsorted(grades, y)
     share = np.cumsum(np.bincount(place, minlength=len(grades)))[:-1] / n
     start = np.log(share / (1 - share))
-    params = np.concatenate([np.zeros(x.shape[1]), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
-    first, second = np.zeros_like(params), np.zeros_like(params)
-    for step in range(1, steps + 1):
-        w, free = params[: x.shape[1]], params[x.shape[1] :]
-        theta = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
-        edges = np.concatenate([[-np.inf], theta, [np.inf]])
+    back = x.transposed_times if isinstance(x, Sparse) else lambda g: x.T @ g
+    ordered = lambda free: np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
+
+    def loss(params: np.ndarray) -> tuple[float, np.ndarray]:
+        w, free = params[:width], params[width:]
+        edges = np.concatenate([[-np.inf], ordered(free), [np.inf]])
         score = x @ w
         with np.errstate(over="ignore"):
             high = 1 / (1 + np.exp(-(edges[place + 1] - score)))
@@ -106,11 +163,11 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = PENAL
         d_high, d_low = high * (1 - high) / likely, low * (1 - low) / likely
         g_theta = np.array([(d_low[place == k + 1].sum() - d_high[place == k].sum()) / n for k in range(cuts)])
         g_free = np.concatenate([[g_theta.sum()], [g_theta[k:].sum() * np.exp(free[k]) for k in range(1, cuts)]])
-        grad = np.concatenate([x.T @ (d_high - d_low) / n + penalty * w, g_free])
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        params = params - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    w, free = params[: x.shape[1]], params[x.shape[1] :]
-    return CumulativeLink(grades, w, np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]))
+        grad = np.concatenate([back(d_high - d_low) / n + penalty * w, g_free])
+        return -np.log(likely).mean() + penalty / 2 * (w @ w), grad
+
+    params = minimise(loss, np.concatenate([np.zeros(width), start[:1], np.log(np.maximum(np.diff(start), 1e-3))]), steps)
+    return CumulativeLink(grades, params[:width], ordered(params[width:]))
 
 
 def training_rows(labels: DataFrame, docs: DataFrame, label: str, sample_rows: int) -> DataFrame:
@@ -127,30 +184,36 @@ def training_rows(labels: DataFrame, docs: DataFrame, label: str, sample_rows: i
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> CumulativeLink:
+    """A model from at most ``sample_rows`` labelled rows that are not held out; everything is
+    kept without labels."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [features(x.as_py(), buckets).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(got, pa.binary())], ["label", "x"])
+            got = [features(x.as_py(), buckets) for x in batch.column("text")]
+            arrays = [batch.column("label"), pa.array([at.tobytes() for at, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["label", "at", "value"])
 
-    rows = training_rows(labels, docs, "quality", sample_rows).select("label", "text").mapInArrow(run, "label int, x binary")
-    got = rows.toArrow()
+    rows = training_rows(labels, docs, "quality", sample_rows).select("label", "text").mapInArrow(run, "label int, at binary, value binary")
+    got = rows.toArrow()  # sample_rows rows at most
     if not got.num_rows:
         return CumulativeLink([1], np.zeros(buckets), np.zeros(0))
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=np.float32).reshape(-1, buckets)
-    return fit(x, got["label"].to_numpy())
+    sample = [(np.frombuffer(a, dtype=np.uint32), np.frombuffer(v, dtype=np.float32)) for a, v in zip(got["at"].to_pylist(), got["value"].to_pylist())]
+    return fit(Sparse(sample, buckets), got["label"].to_numpy())
 
 
 def quality_column(model: CumulativeLink, text: Column, least_grade: int | None = None) -> Column:
     """A column (expected_grade, p_tail) for a column of texts; only the texts go to Python."""
     grade = model.grades[-1] if least_grade is None else least_grade
-    buckets = len(model.weights)
+    buckets, weights = len(model.weights), model.weights
+    link = CumulativeLink(model.grades, np.zeros(0), model.thresholds)
 
     @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            x = np.array([features(t.as_py(), buckets) for t in texts], dtype=np.float32).reshape(-1, buckets)
-            yield pa.StructArray.from_arrays([pa.array(model.expected(x)), pa.array(model.tail(x, grade))], ["expected_grade", "p_tail"])
+            found = (features(t.as_py(), buckets) for t in texts)
+            score = np.array([weights[at] @ value for at, value in found], dtype=np.float64)
+            yield pa.StructArray.from_arrays([pa.array(link.expected(score)), pa.array(link.tail(score, grade))], ["expected_grade", "p_tail"])
 
     return F.arrow_udf(run, "expected_grade double, p_tail double")(text.cast("string"))
 
