@@ -64,3 +64,48 @@ def test_the_likeliest_of_all_readings(monkeypatch):
 def test_a_reading_beyond_the_48_cheapest_states():
     model = letters("uanamcoi", "ueeai", "ilncm", "numslcti")
     assert toxicity.decode("***n*m(*1", model, {}) == "namcoi"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("You 1d10t!", ["you", "idiot"]),
+        ("an i d i o t here", ["an", "idiot", "here"]),
+        ("plain Words, 42 of them", ["plain", "words", "of", "them"]),
+        ("wiiiiield it", ["wield", "it"]),
+        (None, []),
+    ],
+)
+def test_the_restored_text_takes_the_place_of_what_was_written(text, want):
+    model = letters("idiot", "idiot", "you", "an", "here", "wield", "it", "plain", "words", "of", "them")
+    assert toxicity._WORD.findall(toxicity.restored(text, model, {})) == want
+
+
+def every_reading(raw):
+    """(cost of the channel, text) of all readings of a word, by enumeration."""
+    found = [(0.0, "")]
+    for i, c in enumerate(raw):
+        options = [(c, 0.0 if c.isalpha() else toxicity.COST_KEEP)]
+        options += [(x, toxicity.COST_LOOKALIKE if len(toxicity.LOOKALIKES[c]) < 3 else toxicity.COST_WILD) for x in toxicity.LOOKALIKES.get(c, "")]
+        if not c.isalnum():
+            options.append(("", toxicity.COST_DROP))
+        elif i and raw[i - 1] == c:
+            options.append(("", toxicity.COST_REPEAT))
+        found = [(a + price, text + x) for a, text in found for x, price in options]
+    return found
+
+
+def test_viterbi_against_enumeration():
+    rng = random.Random(8)
+    model = letters("would", "wild", "wield", "mean", "main", "moan", "abel", "table", "also")
+    for _ in range(120):
+        raw = "".join(rng.choice("wildmeanto*!|1045$") for _ in range(rng.randint(2, 6)))
+
+        def whole(reading):
+            cost, text = reading
+            marked = "^^" + text + "$"
+            return cost + sum(model.cost(marked[i : i + 2], marked[i + 2]) for i in range(len(text) + 1))
+
+        best = min(map(whole, every_reading(toxicity._DRAWN.sub(r"\1\1", raw))))
+        got = toxicity.decode(raw, model, {})
+        assert min(whole(r) for r in every_reading(toxicity._DRAWN.sub(r"\1\1", raw)) if r[1] == got) == pytest.approx(best), raw
