@@ -3,8 +3,10 @@
 Each node of a page's tree has a density: its characters per tag, lowered by the share of
 them that stand in links.  The node with the largest sum of its children's densities is
 the core of the article; the least density on the way from it up to the body is the
-threshold that a block beside it has to reach to belong to it.  Inside an article element
-tags and names decide instead: every block belongs to it that they do not drop.
+threshold that a block beside it has to reach to belong to it.  Beside what hangs directly
+in the body, where headers and footers stand, that is BODY_SHARE of the least density below
+the body at least.  Inside an article element tags and whole names decide instead: every
+block belongs to it that they do not drop.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +52,10 @@ _ASIDE = set(
     "social follow related recommended recommendations trending comment comments commentlist discussion disqus replies "
     "respond feedback form search skip hidden widget outbrain taboola".split()
 )
+#: Elements whose names can put them beside the article even within it.
+_HOLDERS = set("div section ul ol dl figure details center".split())
+#: What a block directly in the body needs of the least density on the path below the body.
+BODY_SHARE = 1.0
 _HEADINGS = {f"h{n}" for n in range(1, 7)}
 #: An open element of the second set is ended by a start tag of the first.
 _ENDS = {
@@ -64,6 +71,7 @@ _ENDS = {
 }
 #: What an implied end tag does not reach through.
 _WALLS = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body", "blockquote"}
+_STOPS = _WALLS | set(_ENDS)
 
 
 class _Link(str):
@@ -71,10 +79,13 @@ class _Link(str):
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "dropped", "named", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "dropped", "named", "density", "sum", "inside", "stop")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool, named: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        #: the nearest element, itself or above, that an implied end tag reaches or stops at
+        self.stop = self if parent is None or tag in _STOPS else parent.stop
         self.named = named  # by its class, id or role, as something beside the article
         self.parts: list = []  # texts and nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -84,19 +95,21 @@ class _Node:
 def _dropped(tag: str, attributes: str, at: _Node) -> bool:
     if tag in _NEVER:
         return True
-    if tag == "header":  # an article's own header has its title
-        while at is not None and at.tag not in ("article", "main"):
-            at = at.parent
-        if at is None:
-            return True
+    if tag == "header" and not (at.inside or at.tag in ("article", "main")):  # an article's own header has its title
+        return True
     return bool(attributes) and _HIDDEN.search(attributes) is not None
 
 
-def _named(tag: str, attributes: str) -> bool:
+def _named(tag: str, attributes: str, at: _Node) -> bool:
+    """Whether a class, id or role says that the element is not of the article.  Within an
+    article only a name that says nothing else does, and only that of an element that holds blocks."""
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    names = (m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes))
-    return any(not _ASIDE.isdisjoint(re.split(r"[^a-z]+", n.lower())) for n in names)
+    names = [m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes)]
+    if not (at.inside or at.tag in ("article", "main")):
+        return any(not _ASIDE.isdisjoint(re.split(r"[^a-z]+", n.lower())) for n in names)
+    whole = (re.findall(r"[a-z]+", one.lower()) for n in names for one in n.split())
+    return tag in _HOLDERS and any(words and _ASIDE.issuperset(words) for words in whole)
 
 
 def _settle(root: _Node) -> None:
@@ -124,12 +137,13 @@ def _settle(root: _Node) -> None:
             node.dropped = not article and 2 * chars <= sizes[id(root)][0]
         elif node.named:
             chars, article = sizes[id(node)]
-            node.dropped = not article and (sizes[id(root)][1] or 2 * chars <= sizes[id(root)][0])
+            node.dropped = not article and (sizes[id(root)][1] and not node.inside or 2 * chars <= sizes[id(root)][0])
 
 
 def _tree(page: str) -> _Node:
     root = at = _Node("#page", None, False)
     links, pos, size = 0, 0, len(page)
+    opened: Counter = Counter()  # elements that are open, by tag
 
     def text(raw: str) -> None:
         if not raw or at.dropped:
@@ -165,23 +179,28 @@ def _tree(page: str) -> _Node:
             continue
         links = 0
         if closing:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            while opened[tag]:  # none is open: no end
+                opened[at.tag] -= 1
+                at, done = at.parent, at.tag == tag
+                if done:
+                    break
             continue
         if at.tag == "p" or at.tag in _HEADINGS and tag in _HEADINGS:
+            opened[at.tag] -= 1
             at = at.parent
         if ends := _ENDS.get(tag):
-            up = at
+            up = at.stop
             while up.parent is not None and up.tag not in ends and up.tag not in _WALLS:
-                up = up.parent
-            while up.tag in ends and up.parent is not None:
-                at = up = up.parent
-        new = _Node(tag, at, at.dropped or _dropped(tag, m[2], at), _named(tag, m[2]))
+                up = up.parent.stop
+            while up.parent is not None and up.tag in ends:
+                while at is not up.parent:
+                    opened[at.tag] -= 1
+                    at = at.parent
+                up = at
+        new = _Node(tag, at, at.dropped or _dropped(tag, m[2], at), _named(tag, m[2], at))
         at.parts.append(new)
         if tag not in _VOID:
+            opened[tag] += 1
             at = new
     return root
 
@@ -263,27 +282,28 @@ def main_text(page: str | None) -> str:
     path = [core]
     while path[-1].parent is not None and path[-1].tag not in ("article", "main", "body"):
         path.append(path[-1].parent)
-    least, up = core.density, core
+    below, up = core.density, core
     while up is not None and up is not body:
-        least, up = min(least, up.density), up.parent
-    least = min(least, body.density)
-    chosen, within = {id(core)}, path[-1].tag
+        below, up = min(below, up.density), up.parent
+    least = min(below, body.density)
+    need = lambda at: max(least, BODY_SHARE * below) if at is body else least
+    on_path, chosen, within = {id(x) for x in path}, {id(core)}, path[-1].tag
     for at in path[1:]:
         for x in at.parts:
-            if not isinstance(x, str) and not x.dropped and x not in path:
-                if within == "article" or x.density >= least or within == "main" and x.tag in _HEADINGS:
+            if not isinstance(x, str) and not x.dropped and id(x) not in on_path:
+                if within == "article" or x.density >= need(at) or within == "main" and x.tag in _HEADINGS:
                     chosen.add(id(x))
     out: list[list[str]] = []
-    todo: list = [path[-1]]
+    todo: list = [(path[-1], path[-1])]
     while todo:
-        node = todo.pop()
+        node, above = todo.pop()
         if isinstance(node, list):  # a run of texts directly in a node of the path
-            if within == "article" or sum(len(x.strip()) for x in node if not isinstance(x, _Link)) >= least:
+            if within == "article" or sum(len(x.strip()) for x in node if not isinstance(x, _Link)) >= need(above):
                 out.append(node)
         elif id(node) in chosen:
             _blocks(node, out)
-        elif node in path:
-            todo += reversed(_runs(node))
+        elif id(node) in on_path:
+            todo += [(x, node) for x in reversed(_runs(node))]
     joined = (" ".join("".join(parts).split()) for parts in out)
     return "\n\n".join(x for x in joined if x)
 
@@ -292,7 +312,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of ``pages``.
 
     ``pages`` needs page_id, url and html; other columns are ignored.  A null or empty
-    page has empty text; rows are worked on one by one, so repeated rows repeat.
+    page has empty text; rows are worked on one by one, so repeated rows repeat, and an empty
+    table gives none.  Pages of any length are read whole, in time that grows with their length.
     """
 
     @lean
