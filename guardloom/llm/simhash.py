@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardloom.llm.common import lean, materialise
@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
     ``docs`` needs doc_id and text; other columns are ignored.  Null and empty texts have
     fingerprint zero and are linked like any other.  component_id is the smallest doc_id
     that can be reached over links, null if all of them are null.  Repeated rows are
-    repeated in the result.
+    repeated in the result.  Texts of any length are read whole; an empty table gives no rows.
+    Components are settled in rounds that halve distances, 60 at most; more are an error.
     """
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), shingle_words).alias("fp"))
     marked = materialise(marked, "simhash-fps")
@@ -227,23 +228,51 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_keys() -> tuple[Column, Column]:
+    """128 bits that tell rows of other ids or texts apart, whatever else they hold."""
+    parts = (F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text").cast("string"))
+    return F.xxhash64(F.lit("a"), *parts), F.xxhash64(F.lit("b"), *parts)
+
+
+def row_place() -> Column:
+    """The order in which rows of a class are preferred: by id, null last, then by key."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+
+
+def first_rows(marked: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, k1, k2, fp, ...) of all rows -> one row a fingerprint, with its first place."""
+    return marked.groupBy("fp").agg(F.min(row_place()).alias("place"), *more)
+
+
+def one_of_each(docs: DataFrame, first: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each class: ``first`` has each fingerprint's first place,
+    ``rooted`` each fingerprint's class (fp, root).  Texts are looked up by key, once."""
+    kept = first.join(rooted, "fp").groupBy("root").agg(F.min("place").alias("place"))
+    kept = materialise(kept.select("place.k1", "place.k2"), "kept-keys")
+    own = unused(docs, 3)
+    keyed = docs.withColumns(dict(zip(own, row_keys())))
+    rows = keyed.join(kept.toDF(*own[:2]), own[:2], "left_semi")
+    # rows of one id and text have one key: the smallest of them stays
+    if keyed.select(*own[:2]).join(kept.toDF(*own[:2]), own[:2], "left_semi").groupBy(*own[:2]).count().where("count > 1").isEmpty():
+        return rows.select(*docs.columns)
+    return rows.groupBy(*own[:2]).agg(F.min(F.struct(*docs.columns)).alias(own[2])).select(f"{own[2]}.*")
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [name for i in range(n + len(taken)) if (name := f"own_{i}") not in taken][:n]
+
+
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, hot_cell: int = HOT_CELL) -> DataFrame:
     """The rows of ``docs``, with its columns, of which one of each class is left: the one with
-    the smallest doc_id (of rows with equal ids, or without one, the one with the smallest text)."""
-    wide = docs.select("*", fingerprint_column(F.col("text"), shingle_words).alias("__fp"))
-    marked = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), shingle_words).alias("fp")), "simhash-fps")
-    return one_of_each(wide, marked, classes(marked, radius, hot_cell))
-
-
-def one_of_each(wide: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``wide`` without its __fp, one of each class of ``found`` (fp, root, component_id);
-    ``marked`` has doc_id and fp of all rows."""
-    names = [c for c in wide.columns if c != "__fp"]
-    found = found.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"))
-    found = materialise(found, "simhash-classes")
-    first = wide.join(found, "__fp").where(F.col("doc_id").cast("long").eqNullSafe(F.col("__least")))
-    ids = marked.join(found, marked["fp"] == found["__fp"]).where("doc_id <=> __least")
-    if ids.groupBy("__root").count().where("count > 1").isEmpty():
-        return first.select(*names)
-    line = Window.partitionBy("__root").orderBy("text", *[c for c in names if c != "text"])
-    return first.withColumn("__n", F.row_number().over(line)).where("__n = 1").select(*names)
+    the smallest doc_id (of rows without an id, or of other texts of that id, always the same one).
+
+    Null texts count as empty, and texts without words are copies of each other; texts of any
+    length are read whole; an empty table stays empty.  Columns may have any names."""
+    k1, k2 = row_keys()
+    marked = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), fingerprint_column(F.col("text"), shingle_words).alias("fp"))
+    first = materialise(first_rows(marked), "simhash-first")
+    roots = connected_components(links(first.select("fp"), radius, hot_cell))
+    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return one_of_each(docs, first, rooted)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardloom.llm.vectors import as_matrix, block_search, few_copies, own_entries, top_of_rows, usable
+from guardloom.llm.vectors import as_matrix, block_search, by_dimension, few_copies, own_entries, top_of_rows, usable, with_lengths
 
 K = 20
 SCALE = 64
@@ -101,20 +101,20 @@ def exact_top_k(
 
     With ``scale`` each component x becomes floor(scale * x) and scores are whole numbers;
     without, they are doubles.  ``is_query`` is a condition on ``id``.  Candidates are all
-    rows but the query's own.  Vectors that are null or empty, hold nulls or non-finite
-    components, or are not of the commonest length take no part; neither do null ids.  A
-    repeated id counts once.  An empty table gives an empty result.
+    rows but the query's own.  Vectors that are null or empty, or hold nulls or non-finite
+    components, take no part; neither do null ids.  Vectors of another length than a query's
+    have no product with it; each length is searched on its own.  A repeated id counts once,
+    with the smallest of its vectors.  Other columns are ignored, whatever their names.  An
+    empty table gives an empty result.
     """
-    rows = usable(vectors, id_col, vec_col)
-    if scale is not None:
-        rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
-    one = rows.select(F.size("v").alias("dim")).first()
-    if one is None:
-        found = rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    else:
-        dim = one["dim"]
-        _, rotation = np.linalg.eigh(gram_matrix(rows, dim))
+    convert = (lambda v: v) if scale is None else (lambda v: F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
+    rows = with_lengths(usable(vectors, id_col, vec_col, convert))
+
+    def search(part: DataFrame, dim: int) -> DataFrame:
+        _, rotation = np.linalg.eigh(gram_matrix(part, dim))
         rotation = np.ascontiguousarray(rotation[:, ::-1])  # widest direction first
-        found = block_search(rows, is_query, exact_search(rotation, max(1, round(dim * HEAD_SHARE)), k), k, **how)
+        return block_search(part, is_query, exact_search(rotation, max(1, round(dim * HEAD_SHARE)), k), k, **how)
+
+    found = by_dimension(rows, search)
     kind = "double" if scale is None else "long"
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(kind).alias("score"))

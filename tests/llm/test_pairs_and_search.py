@@ -155,3 +155,35 @@ def test_fewer_candidates_than_k_and_none(spark):
         assert [r["vec_id"] for r in search(frame, F.col("id") == 0).orderBy("rank").collect()] == [1, 2]
         assert search(frame.limit(0), F.col("id") == 0).count() == 0
     assert usable(frame, "vec_id", "embedding").count() == 3
+
+
+def test_vectors_of_other_lengths_are_searched_on_their_own(spark):
+    rows = [(20, [1.0, 2.0]), (21, [2.0, 1.0]), (40, [1.0, 2.0, 3.0]), (41, [3.0, 2.0, 1.0]), (42, [1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for search in (exact_top_k, nearest):
+        got = {}
+        for r in search(frame, F.col("id") % 20 == 0).collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == {20: [21], 40: [41, 42]}
+
+
+def test_a_vector_that_most_rows_hold(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 8))
+    x[200:1400] = 2 * np.abs(x[7]) + 1  # the longest, many times
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    for search, by in ((exact_top_k, np.floor(64 * x)), (nearest, x)):
+        got = {}
+        for r in search(frame, F.col("id") % 20 == 0, block_rows=64, chunk_queries=16).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        right = sum([i for _, i in sorted(found)] == [i for i, _ in best_by_hand(by, q, 20)] for q, found in got.items())
+        assert set(got) == set(range(0, 1500, 20)) and right >= (75 if search is exact_top_k else 65)
+
+
+def test_keep_one_with_clashing_names_and_repeated_rows(spark):
+    rows = [(5, "a b c d e f", "x", 1), (5, "a b c d e f", "x", 0), (2, "other words in this one", "y", 1), (None, None, None, None), (None, "", "z", 2), (2, "a text of the same id", "y", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, own_0 string, __fp int")
+    got = simhash.keep_one(frame).collect()
+    assert sorted((r["doc_id"], r["text"], r["__fp"]) for r in got if r["doc_id"] is not None) == [(2, "a text of the same id", 1), (2, "other words in this one", 1), (5, "a b c d e f", 0)]
+    assert len(got) == 4 and list(got[0].asDict()) == frame.columns
+    assert simhash.keep_one(frame.limit(0)).count() == 0
