@@ -32,7 +32,12 @@ SAMPLE_ROWS = 4096
 THRESHOLD = 0.2
 ROUNDS = 6
 #: Candidates that are scored exactly, for each query.
-RERANK = 400
+RERANK = 300
+#: Queries of a chunk: codes are small, so more of them travel and more workers scan.
+CHUNK_QUERIES = 512
+#: Codes of a block, and how many of them are scored at a time.
+CODE_ROWS = 131_072
+STEP_CODES = 16_384
 STEP_QUERIES = 256
 
 
@@ -80,7 +85,7 @@ class Quantiser:
         out = np.zeros((len(q), len(codes)), dtype=np.float32)
         for s in range(0, len(tables), 2):
             pair = (tables[s][:, :, None] + tables[s + 1][:, None, :]).reshape(len(q), -1)
-            out += pair[:, codes[:, s].astype(np.intp) * CENTRES + codes[:, s + 1]]
+            out += np.take(pair, codes[:, s].astype(np.intp) * CENTRES + codes[:, s + 1], axis=1, mode="clip")
         return out
 
 
@@ -157,18 +162,22 @@ def _scan(model: Quantiser, rerank: int):
             q = as_matrix(queries["v"])
             own_q, own_c = own_entries(q_ids, ids)
             for i in range(0, len(q), STEP_QUERIES):
-                part = slice(i, min(i + STEP_QUERIES, len(q)))
-                near = model.scan(q[part], codes)
-                mine = (own_q >= part.start) & (own_q < part.stop)
-                near[own_q[mine] - part.start, own_c[mine]] = -np.inf
-                n = min(rerank, near.shape[1])
-                least = -np.partition(-near, n - 1, axis=1)[:, n - 1 : n]
-                above, equal = near > least, near == least
-                pick = above | equal & (np.cumsum(equal, axis=1) <= n - above.sum(axis=1)[:, None])
-                r, s = np.nonzero(pick & (near > -np.inf))
+                part, held = slice(i, min(i + STEP_QUERIES, len(q))), []
+                for j in range(0, len(ids), STEP_CODES):
+                    step = slice(j, min(j + STEP_CODES, len(ids)))
+                    near = model.scan(q[part], codes[step])
+                    mine = (own_q >= part.start) & (own_q < part.stop) & (own_c >= step.start) & (own_c < step.stop)
+                    near[own_q[mine] - part.start, own_c[mine] - step.start] = -np.inf
+                    n = min(rerank, near.shape[1])
+                    least = -np.partition(-near, n - 1, axis=1)[:, n - 1 : n]
+                    above, equal = near > least, near == least
+                    pick = above | equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= n - above.sum(axis=1)[:, None])
+                    r, s = np.nonzero(pick & (near > -np.inf))
+                    held.append((r, s + step.start, near[r, s]))
+                r, s, x = top_of_rows(*(np.concatenate(y) for y in zip(*held)), ids, rerank)
                 found["query_id"].append(q_ids[part][r])
                 found["vec_id"].append(ids[s])
-                found["score"].append(near[r, s].astype(np.float64))
+                found["score"].append(x.astype(np.float64))
         columns = {k: np.concatenate(v) if v else np.empty(0) for k, v in found.items()}
         return pa.table({k: pa.array(v, pa.float64() if k == "score" else pa.int64()) for k, v in columns.items()})
 
@@ -204,8 +213,10 @@ def rescored(found: DataFrame, queries: DataFrame, candidates: DataFrame) -> Dat
 
 
 def approximate_search(
-    rows: DataFrame, is_query: Column, k: int, rerank: int, sample_rows: int, block_rows: int = V.BLOCK_ROWS, chunk_queries: int = V.CHUNK_QUERIES
-) -> DataFrame:
+    rows: DataFrame, is_query: Column, k: int, rerank: int, sample_rows: int,
+    block_rows: int = V.BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES,
+    code_rows: int = CODE_ROWS,
+) -> DataFrame:
     """rows (id, v, len2) of one dimension -> query_id, rank, vec_id, score."""
     candidates = materialise(V.without_copies(rows, k), "candidates")
     f = V.floors(rows, candidates, is_query, plain_search(k), k, block_rows, chunk_queries)
@@ -215,7 +226,11 @@ def approximate_search(
         return f.seed
     sample = candidates.select("v").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     model = fit(as_matrix(sample.toArrow()["v"]))
-    q, c = V.live_cells(f, encoded(candidates, model), "codes")
+    rest = encoded(candidates.where(~V.in_seed(f.blocks)), model)
+    blocks = V.classes_of(rest, "len2", code_rows)
+    if blocks is None:
+        return f.seed
+    q, c = V.live_cells(f, blocks, rest, "codes", 0)
     c = c.select(*[F.col(x).alias(f"c_{x}") for x in ("id", "v", "chunk", "block")])
     near = q.groupBy("chunk", "block").cogroup(c.groupBy("c_chunk", "c_block")).applyInArrow(_scan(model, rerank), "query_id long, vec_id long, score double")
     best = materialise(V.first_k(near, rerank), "nearest")

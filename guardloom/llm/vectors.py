@@ -171,6 +171,11 @@ class Floors:
     chunks: Classes
 
 
+def in_seed(blocks: Classes) -> Column:
+    """Whether a candidate is of the block that every query sees first."""
+    return blocks.part(F.col("len2"), 0) == 0
+
+
 def floors(rows: DataFrame, candidates: DataFrame, is_query: Column, search: Search, k: int, block_rows: int, chunk_queries: int) -> Floors | None:
     """Each query against the block of the longest candidates."""
     blocks = classes_of(candidates, "len2", block_rows)
@@ -179,7 +184,7 @@ def floors(rows: DataFrame, candidates: DataFrame, is_query: Column, search: Sea
     asked = rows.where(is_query)
     chunks = max(1, -(-asked.count() // chunk_queries))
     start = asked.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("block"), F.lit(float("-inf")).alias("floor"))
-    longest = candidates.where(F.col("len2") >= (blocks.cuts[0] if blocks.cuts else 0.0)).where(blocks.part(F.col("len2"), 0) == 0)
+    longest = candidates.where(F.col("len2") >= (blocks.cuts[0] if blocks.cuts else 0.0)).where(in_seed(blocks))
     longest = longest.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(0).alias("block"))
     seed = materialise(first_k(grid(start, longest, search), k), "seeds")
     known = seed.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
@@ -191,22 +196,20 @@ def floors(rows: DataFrame, candidates: DataFrame, is_query: Column, search: Sea
     return None if eases is None else Floors(queries, seed, blocks, eases)
 
 
-def live_cells(f: Floors, candidates: DataFrame, what: str) -> tuple[DataFrame, DataFrame] | None:
-    """(queries, candidates with ``what`` as v), each once for every cell that it could matter in;
-    None if there is but one block."""
-    blocks, chunks = f.blocks, f.chunks
-    if blocks.first[-1] < 2:
-        return None
+def live_cells(f: Floors, blocks: Classes, candidates: DataFrame, what: str, first: int) -> tuple[DataFrame, DataFrame]:
+    """(queries, candidates with ``what`` as v), each once for every cell that it could matter in,
+    of the blocks from number ``first`` on."""
+    chunks = f.chunks
     upper = _literals(blocks.upper)
     # classes run from the longest down, so those in reach are the first ones; parts follow classes
     reach = F.size(F.filter(upper, lambda u: u >= F.col("need")))
     last = F.element_at(F.array(*[F.lit(x) for x in blocks.first]), reach + 1) - 1
-    own = f.queries.where(last >= 1)
-    q = own.select("id", "v", "floor", chunks.part(F.col("ease"), 1).alias("chunk"), F.explode(F.sequence(F.lit(1), last)).alias("block"))
+    own = f.queries.where(last >= first)
+    q = own.select("id", "v", "floor", chunks.part(F.col("ease"), 1).alias("chunk"), F.explode(F.sequence(F.lit(first), last)).alias("block"))
     met = [sum(-e <= u for e in chunks.upper) for u in blocks.upper]  # classes of needs that a class of lengths can meet
     ends = F.array(*[F.lit(chunks.first[n] - 1) for n in met])
     end = F.element_at(ends, blocks.of(F.col("len2")) + 1)
-    c = candidates.withColumn("block", blocks.part(F.col("len2"), 0)).where((F.col("block") > 0) & (end >= 0))
+    c = candidates.withColumn("block", blocks.part(F.col("len2"), 0)).where((F.col("block") >= first) & (end >= 0))
     return q, c.select("id", F.col(what).alias("v"), "block", F.explode(F.sequence(F.lit(0), end)).alias("chunk"))
 
 
@@ -227,9 +230,9 @@ def block_search(
     f = floors(rows, candidates, is_query, search, k, block_rows, chunk_queries)
     if f is None:
         return empty(rows)
-    cells = live_cells(f, candidates, "v")
-    if cells is None:
+    if f.blocks.first[-1] < 2:
         return f.seed
+    cells = live_cells(f, f.blocks, candidates, "v", 1)
     return first_k(grid(*cells, search).union(f.seed.select("query_id", "vec_id", "score")), k)
 
 

@@ -131,7 +131,7 @@ def test_exact_top_k(spark, how):
         assert sorted(found) == [(n, i, int(s)) for n, (i, s) in enumerate(best_by_hand(ints, q, 20), 1)]
 
 
-@pytest.mark.parametrize("how", [{}, {"block_rows": 100, "chunk_queries": 8}])
+@pytest.mark.parametrize("how", [{}, {"block_rows": 100, "chunk_queries": 8}, {"block_rows": 100, "chunk_queries": 8, "code_rows": 70}])
 def test_approximate_search(spark, how):
     x, rows = vector_rows()
     frame = spark.createDataFrame([*rows, (906, [0.0] * 12, "")], "vec_id long, embedding array<double>, score string")
