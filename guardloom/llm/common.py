@@ -67,6 +67,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(table: DataFrame) -> None:
+    """Deletes the files of a table that materialise() wrote, once nothing reads it any more."""
+    context = table.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lean(run):
     """Wraps a generator over Arrow batches so that its worker gives freed memory back at the end.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardloom.llm.common import materialise
+from guardloom.llm.common import materialise, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Edges (u, v) of comparable ids -> (node, root): every node of an edge and the
-    smallest node that it can reach.  Repeated edges and loops do no harm."""
+    smallest node that it can reach.  Repeated edges and loops do no harm.  Rounds grow with the
+    logarithm of the longest path; more than ``most_rounds`` are an error, never a cut."""
     now = materialise(edges.where("u <> v").select("u", "v").distinct(), "cc")
     seen = None
     for _ in range(most_rounds):
-        now = materialise(_small_star(_large_star(now)), "cc")
+        before, now = now, materialise(_small_star(_large_star(now)), "cc")
+        release(before)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             root = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Every row gets a hash-random key (MD5 of its id).  Rows are dealt to ranges of that
+Every row gets a hash-random key (MD5 of its id and text).  Rows are dealt to ranges of that
 key within each source; range sums are prefixed level by level, so no window ever
 holds more than one range.  A row is taken as often as its source's budget passes
 over its stretch of the source's word line.
@@ -27,6 +27,12 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
+def _row_key() -> Column:
+    """MD5 of the id and the text's own MD5, so rows that share an id, or have none, do not share a key."""
+    own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
+
+
 def source_targets(
     sizes: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -75,15 +81,16 @@ def plan_mix(
     of the source before this row in the mixing order), budget and taken.
 
     Null or empty texts have size 0 and are taken 0 times; null sources are one source,
-    the last; null ids share one key; repeated rows count as often as they occur, and
-    among them it is undefined which one the budget ends in (they are alike).
+    the last; repeated rows count as often as they occur, and among them it is undefined
+    which one the budget ends in (they are alike).  Texts of any length are counted whole; an
+    empty table gives no rows; columns that are not named are ignored, whatever their names.
     """
     own = [F.col(c).alias(f"__{c}") for c in carry]
     sized = docs.select(
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
+        _row_key().alias("key"),
         *own,
     )
     if not carry:  # small rows: count the words once
