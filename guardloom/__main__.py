@@ -1,4 +1,8 @@
 """python -m guardloom check|sanitize|demo: one text, or a file of lines, through the checks.
+python -m guardloom gateway --source DIR --forward DIR --refuse DIR --checkpoint DIR: JSON-RPC
+lines of the text files that arrive in a folder, as a stream; what may pass, what is answered
+with an error, and with --warn DIR what passes with a warning, each to a folder of JSON lines.
+python -m guardloom categories: what is looked for, with an example of each rule's type.
 
 Exit code: 0 all safe, 2 something is not, 1 an error.
 """
@@ -9,6 +13,7 @@ import argparse
 import json
 import sys
 
+from guardloom.functions.rules import categories
 from guardloom.operators import inbound, outbound
 from guardloom.operators.outbound import PrivacyConfig
 
@@ -44,18 +49,42 @@ def _texts(args) -> list[str]:
     return [sys.stdin.read().strip()]
 
 
+def _gateway(spark, args) -> None:
+    """Until all files that are there are done, or with --forever until it is stopped."""
+    from guardloom.streaming import stateless
+
+    registry = spark.read.parquet(args.registry) if args.registry else None
+    decided = stateless.decide_lines(stateless.read_text_lines(spark, args.source), registry=registry)
+    to = lambda path, *columns: lambda rows: rows.select(*columns).write.mode("append").json(path)
+    warned = to(args.warn, "request", "call_risk", "explanation") if args.warn else None
+    stateless.route(decided, to(args.forward, "request"), to(args.refuse, "error"), args.checkpoint, warned, args.forever).awaitTermination()
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="guardloom")
-    p.add_argument("what", choices=("check", "sanitize", "demo"))
+    p.add_argument("what", choices=("check", "sanitize", "demo", "gateway", "categories"))
     p.add_argument("text", nargs="?")
     p.add_argument("--lines", help="a file with a text in each line")
     p.add_argument("--surface", default="unknown")
     p.add_argument("--outbound", action="store_true")
     p.add_argument("--protect", action="append", default=[], help="a name that must not go out")
     p.add_argument("--json", action="store_true")
+    for name in ("source", "forward", "refuse", "warn", "checkpoint"):
+        p.add_argument(f"--{name}", help="a folder of the gateway's")
+    p.add_argument("--registry", help="a Parquet table of taint entries (taint_id, source, path)")
+    p.add_argument("--forever", action="store_true", help="wait for further files")
     args = p.parse_intermixed_args(argv)
+    if args.what == "categories":
+        for c in categories():
+            print(json.dumps(c))
+        return 0
+    if args.what == "gateway" and not all((args.source, args.forward, args.refuse, args.checkpoint)):
+        p.error("gateway needs --source, --forward, --refuse and --checkpoint")
     try:
         spark, config = _session(), PrivacyConfig(protected_names=tuple(args.protect))
+        if args.what == "gateway":
+            _gateway(spark, args)
+            return 0
         schema = "surface string, text string"
         if args.what == "demo":
             found = inbound.check_inbound(spark.createDataFrame(DEMO_INBOUND, schema)).collect()

@@ -38,6 +38,17 @@ def once(column: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, column)
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def hits(text: Column, rules: Sequence[Rule], flags: str, low: Column | None = None) -> Column:
     """Places (from 1) of the rules that match, in order.
 
@@ -105,8 +116,8 @@ def status(name: Column, words: Mapping[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), name)
 
 
-def judged(findings: Column, some: str, none: str) -> dict[str, Column]:
-    """Columns that follow from a column of findings."""
+def judged(findings: Column, some: str, none: str, blank: Column) -> dict[str, Column]:
+    """Columns that follow from a column of findings, and from whether the text is blank."""
     raw, labels = raw_score(findings), F.transform(findings, lambda f: f["label"])
     name = level(raw)
     return {
@@ -118,7 +129,7 @@ def judged(findings: Column, some: str, none: str) -> dict[str, Column]:
         "is_safe": raw < 0.45,
         "blocked": raw >= 0.90,
         "matched_rules": labels,
-        "explanation": F.when(F.col("_blank"), "Empty input").otherwise(explanation(labels, some, none)),
+        "explanation": F.when(blank, "Empty input").otherwise(explanation(labels, some, none)),
     }
 
 

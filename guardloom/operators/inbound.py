@@ -63,29 +63,28 @@ def check_inbound(
 
     A blank or null text is clean.  An unknown or null surface has factor 1.  Filters that do
     not need the result belong before this: the matched rules are computed once per row.
+    Columns of ``df`` stay, whatever their names, but for those that the result's own replace.
     """
-    body = F.col(text)
+    body, (low, once) = F.col(text), S.unused(df.columns, "_low", "_seen")
+    seen_of = lambda name: F.col(f"{once}.{name}")
     factor = S.lookup(INBOUND_FACTORS, F.col(surface))
-    parts = [S.findings_of(F.col("_hits"), INBOUND, factor)]
+    parts = [S.findings_of(seen_of("hits"), INBOUND, factor)]
     if homoglyphs:
-        score = F.col("_alike")
+        score = seen_of("alike")
         alike = F.array(S.finding("homoglyphs", "unicode_bypass", score * factor)).cast(S.FINDINGS)
         parts.append(F.when(score > 0, alike).otherwise(F.array().cast(S.FINDINGS)))
     if markdown:
         scaled = lambda f: F.struct(f["label"].alias("label"), f["type"].alias("type"), F.least(f["score"] * factor, F.lit(1.0)).alias("score"))
-        parts.append(F.transform(F.col("_lines"), scaled).cast(S.FINDINGS))
+        parts.append(F.transform(seen_of("lines"), scaled).cast(S.FINDINGS))
     blank = S.is_blank(body)
     none = F.array().cast("array<int>")
     seen = F.struct(
         blank.alias("blank"),
-        F.when(blank, none).otherwise(S.hits(body, INBOUND, INBOUND_FLAGS, F.col("_low"))).alias("hits"),
+        F.when(blank, none).otherwise(S.hits(body, INBOUND, INBOUND_FLAGS, F.col(low))).alias("hits"),
         F.when(blank, F.lit(0.0)).otherwise(homoglyph_score(body)).alias("alike"),
         F.when(blank, F.array().cast(S.FINDINGS)).otherwise(markdown_findings(body)).alias("lines"),
     )
-    scanned = df.withColumn("_low", S.once(folded(body))).withColumn("_seen", S.once(seen)).select(
-        "*", F.col("_seen.blank").alias("_blank"), F.col("_seen.hits").alias("_hits"), F.col("_seen.alike").alias("_alike"), F.col("_seen.lines").alias("_lines")
-    )
-    found = scanned.withColumn("findings", F.concat(*parts))
-    out = found.withColumns(S.judged(F.col("findings"), "Matched # pattern(s): ", "No threats detected"))
+    found = df.withColumn(low, S.once(folded(body))).withColumn(once, S.once(seen)).withColumn("findings", F.concat(*parts))
+    out = found.withColumns(S.judged(F.col("findings"), "Matched # pattern(s): ", "No threats detected", seen_of("blank")))
     risk = F.col("risk_score")
-    return out.withColumn("needs_judge", ~F.col("_blank") & (risk >= judge_from) & (risk < 0.9)).drop("_low", "_seen", "_blank", "_hits", "_alike", "_lines")
+    return out.withColumn("needs_judge", ~seen_of("blank") & (risk >= judge_from) & (risk < 0.9)).drop(low, once)

@@ -15,6 +15,7 @@ from guardloom.functions.literals import folded
 from guardloom.functions.rules import CATEGORIES, CREDENTIALS, OUTBOUND_FACTORS, PERSONAL, Rule
 
 REDACTED = "[REDACTED]"
+# Fixed value: what a text becomes of which nothing may go out.
 BLOCKED_TEXT = "[BLOCKED — content contained only sensitive private information]"
 JUDGE_FROM = 0.3
 ENTROPY_RUN = r"[A-Za-z0-9+/=_\-]{40,}"
@@ -80,31 +81,35 @@ def redact_all(text: Column, config: PrivacyConfig = PrivacyConfig()) -> Column:
 
 
 def check_outbound(df: DataFrame, text: str = "text", surface: str = "surface", config: PrivacyConfig = PrivacyConfig()) -> DataFrame:
-    """``df`` with the columns of the outbound check; blank and null texts are clean."""
+    """``df`` with the columns of the outbound check; blank and null texts are clean.
+
+    Columns of ``df`` stay, whatever their names, but for those that the result's own replace."""
+    low, once = S.unused(df.columns, "_low", "_seen")
+    seen_of = lambda name: F.col(f"{once}.{name}")
     body, factor = F.col(text), S.lookup(OUTBOUND_FACTORS, F.col(surface))
     none, blank = F.array().cast("array<int>"), S.is_blank(body)
     names = [F.when(body.rlike(name_pattern(n)), F.lit(i)) for i, n in enumerate(config.names, 1)]
     seen = F.struct(
         blank.alias("blank"),
-        F.when(blank, none).otherwise(S.hits(body, config.personal, OUTBOUND_FLAGS, F.col("_low"))).alias("personal"),
+        F.when(blank, none).otherwise(S.hits(body, config.personal, OUTBOUND_FLAGS, F.col(low))).alias("personal"),
         F.when(blank, none).otherwise(F.array_compact(F.array(*names)) if names else none).alias("names"),
-        F.when(blank, none).otherwise(S.hits(body, config.credentials, OUTBOUND_FLAGS, F.col("_low"))).alias("credentials"),
+        F.when(blank, none).otherwise(S.hits(body, config.credentials, OUTBOUND_FLAGS, F.col(low))).alias("credentials"),
         (F.when(blank, 0).otherwise(F.size(high_entropy_runs(body))) if config.check_high_entropy else F.lit(0)).alias("runs"),
     )
-    scanned = df.withColumn("_low", S.once(folded(body))).withColumn("_seen", S.once(seen)).withColumn("_blank", F.col("_seen.blank"))
+    scanned = df.withColumn(low, S.once(folded(body))).withColumn(once, S.once(seen))
     name_list = F.array(*[F.lit(n) for n in config.names]) if names else F.array().cast("array<string>")
     named = lambda i: S.finding(F.concat(F.lit("name:"), F.element_at(name_list, i)), "privacy_violation", F.least(factor * 0.72, F.lit(0.89)))
     random_run = S.finding("high_entropy", "credential_leak", F.lit(0.72))
     found = F.concat(
-        S.findings_of(F.col("_seen.personal"), config.personal, factor),
-        F.transform(F.col("_seen.names"), named).cast(S.FINDINGS),
-        S.findings_of(F.col("_seen.credentials"), config.credentials, F.greatest(factor, F.lit(1.0))),
-        F.array_repeat(random_run, F.col("_seen.runs")).cast(S.FINDINGS),
+        S.findings_of(seen_of("personal"), config.personal, factor),
+        F.transform(seen_of("names"), named).cast(S.FINDINGS),
+        S.findings_of(seen_of("credentials"), config.credentials, F.greatest(factor, F.lit(1.0))),
+        F.array_repeat(random_run, seen_of("runs")).cast(S.FINDINGS),
     )
     out = scanned.withColumn("findings", found)
-    out = out.withColumns(S.judged(F.col("findings"), "Privacy risk in # area(s): ", "No privacy violations detected"))
+    out = out.withColumns(S.judged(F.col("findings"), "Privacy risk in # area(s): ", "No privacy violations detected", seen_of("blank")))
     risk = F.col("risk_score")
-    return out.withColumn("needs_judge", ~F.col("_blank") & (risk >= config.judge_from) & (risk < 0.9)).drop("_low", "_seen", "_blank")
+    return out.withColumn("needs_judge", ~seen_of("blank") & (risk >= config.judge_from) & (risk < 0.9)).drop(low, once)
 
 
 def sanitize(df: DataFrame, text: str = "text", surface: str = "surface", config: PrivacyConfig = PrivacyConfig()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardloom.functions import scoring as S
-from guardloom.functions.rules import CREDENTIALS, INBOUND, PERSONAL
+from guardloom.functions.rules import CREDENTIALS, INBOUND, PERSONAL, categories
 from guardloom.operators import inbound, judge, outbound
 from guardloom.operators.outbound import PrivacyConfig
 from guardloom.plans import analytics, sql, tool_queries
@@ -315,6 +315,19 @@ def rule_catalogue(spark, d):
     return rules.groupBy("type").agg(F.count("*").alias("rules"), F.max("base").alias("most"), F.round(F.avg("base"), 6).alias("mean"))
 
 
+_OUT_CATEGORY = ", ".join(f"({sql.q(c)}, {sql.q(r.id)})" for r in PERSONAL for c in r.categories)
+
+
+@query(
+    f"""SELECT 'inbound' AS direction, type AS category, count(*) AS rules FROM (VALUES {", ".join(f"({sql.q(r.id)}, {sql.q(r.type)})" for r in INBOUND)}) AS t(id, type) GROUP BY ALL
+        UNION ALL SELECT 'outbound', category, count(*) FROM (VALUES {_OUT_CATEGORY}) AS t(category, id) GROUP BY ALL
+        UNION ALL SELECT 'outbound', {sql.q(CREDENTIALS[0].type)}, {len(CREDENTIALS)}"""
+)
+def category_catalogue(spark, d):
+    rows = [(c["direction"], c["category"], c["count"]) for c in categories() if c["count"]]
+    return spark.createDataFrame(rows, "direction string, category string, rules long")
+
+
 def queries() -> dict[str, Query]:
     out = {name: f for name, (f, _) in _Q.items()}
     out |= tool_queries.queries() | analytics.queries()

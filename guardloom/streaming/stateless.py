@@ -47,9 +47,10 @@ def _stream_taint_score(parsed: DataFrame, registry: DataFrame) -> DataFrame:
     return scored.select(*parsed.columns, "taint_score")
 
 
-def route(decided: DataFrame, forward: Callable[[DataFrame], None], refuse: Callable[[DataFrame], None], checkpoint: str, warned: Callable[[DataFrame], None] | None = None):
+def route(decided: DataFrame, forward: Callable[[DataFrame], None], refuse: Callable[[DataFrame], None], checkpoint: str, warned: Callable[[DataFrame], None] | None = None, forever: bool = False):
     """Starts a query that hands each micro-batch's rows to two sinks, refused ones with their
-    error, and those passed on with a warning to a third, if there is one."""
+    error, and those passed on with a warning to a third, if there is one.  It ends when all that
+    is there is done, unless it is to run ``forever``."""
 
     def batch(df: DataFrame, _: int) -> None:
         df.persist()
@@ -59,7 +60,8 @@ def route(decided: DataFrame, forward: Callable[[DataFrame], None], refuse: Call
             warned(df.where("warn"))
         df.unpersist()
 
-    return decided.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = decided.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer if forever else writer.trigger(availableNow=True)).start()
 
 
 def blocked_by_window(decided: DataFrame, ts: str = "ts", late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
