@@ -24,7 +24,7 @@ LEAF = 64
 LOOKAHEAD = 4
 CACHE_WORDS = 400_000
 
-TREE = "doc_id long, text string, n_tokens long, n_pretokens long, leaf_chars array<int>, leaf_tokens array<int>"
+TREE = "doc_id long, text string, n_tokens long, n_pretokens long, leaf_chars array<int>, leaf_tokens array<int>, leaf_pretokens array<int>"
 EDITED = TREE + ", encoded_chars long"
 
 
@@ -160,11 +160,11 @@ def edit(text: str, tree: SegmentTree, start: int, length: int, new: str, pre: P
 
 def _row(doc_id, text: str, tree: SegmentTree) -> tuple:
     leaves = tree.leaves()
-    return doc_id, text, int(tree.total[1]), int(tree.total[2]), leaves[:, 0].tolist(), leaves[:, 1].tolist()
+    return doc_id, text, int(tree.total[1]), int(tree.total[2]), *(leaves[:, i].tolist() for i in range(3))
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 3, pa.int64()]
     columns = list(zip(*rows)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -174,10 +174,12 @@ def _names(schema: str) -> list[str]:
 
 
 def count_tokens(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, text, n_tokens, n_pretokens, leaf_chars, leaf_tokens for every row of ``docs``.
+    """doc_id, text, n_tokens, n_pretokens and the leaves' chars, tokens and pretokens for every
+    row of ``docs``.
 
-    ``docs`` needs doc_id and text; other columns are ignored.  A null or empty text has no
-    tokens and no leaves; repeated rows repeat.
+    ``docs`` needs doc_id and text; other columns are ignored, whatever their names.  A null or
+    empty text has no tokens and no leaves; repeated rows repeat; texts of any length are
+    counted whole; an empty table gives no rows.
     """
     ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
 
@@ -197,12 +199,25 @@ def count_tokens(docs: DataFrame, ranks_path: str | None = None, pattern: str |
     return need.mapInArrow(run, TREE)
 
 
+def _edited(doc_id, text: str, tree: SegmentTree, edits: list | None, pre: PreTokens) -> tuple:
+    encoded = 0
+    for e in edits or []:
+        if e is not None:
+            text, tree, n = edit(text, tree, e["start"] or 0, e["length"] or 0, e["new"] or "", pre)
+            encoded += n
+    return *_row(doc_id, text, tree), encoded
+
+
+_EDITS = "array<struct<start:int,length:int,new:string>>"
+
+
 def apply_edits(counted: DataFrame, edits: Column, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Rows of count_tokens() after ``edits``, and encoded_chars: how many characters were split again.
+    """Rows of count_tokens(), or of this, after ``edits``, and encoded_chars: how many characters were split again.
 
     ``edits`` is an array of (start int, length int, new string), applied in turn, each to
     the text that the one before left; spans are brought within the text, a null array or
-    null entries change nothing.  Trees come from the rows' leaves, not from the text.
+    null entries change nothing.  Trees come from the rows' leaves, not from the text.  Texts of
+    any length, repeated rows and empty tables are as in count_tokens().
     """
     ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
 
@@ -213,17 +228,25 @@ def apply_edits(counted: DataFrame, edits: Column, ranks_path: str | None = None
             for i in range(0, batch.num_rows, 256):
                 rows = []
                 for r in batch.slice(i, 256).to_pylist():
-                    text, encoded = r["text"] or "", 0
-                    chars, tokens = np.array(r["leaf_chars"], np.int64), np.array(r["leaf_tokens"], np.int64)
-                    sizes = np.full(len(chars), LEAF)
-                    sizes[-1:] = r["n_pretokens"] - LEAF * (len(chars) - 1)
-                    tree = SegmentTree(np.stack([chars, tokens, sizes], axis=1))
-                    for e in r["edits"] or []:
-                        if e is not None:
-                            text, tree, n = edit(text, tree, e["start"] or 0, e["length"] or 0, e["new"] or "", pre)
-                            encoded += n
-                    rows.append((*_row(r["doc_id"], text, tree), encoded))
+                    leaves = np.array([r["leaf_chars"], r["leaf_tokens"], r["leaf_pretokens"]], np.int64).reshape(3, -1)
+                    rows.append(_edited(r["doc_id"], r["text"] or "", SegmentTree(leaves.T), r["edits"], pre))
+                yield _table(rows, _names(EDITED))
+
+    need = counted.select(*_names(TREE), edits.cast(_EDITS).alias("edits"))
+    return need.mapInArrow(run, EDITED)
+
+
+def count_and_edit(docs: DataFrame, edits: Column, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """apply_edits() of count_tokens(), where the texts cross to Python once."""
+    ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre = PreTokens(ranks_path, pattern)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                rows = [_edited(r["doc_id"], t := r["text"] or "", build(t, pre), r["edits"], pre) for r in batch.slice(i, 256).to_pylist()]
                 yield _table(rows, _names(EDITED))
 
-    need = counted.select(*_names(TREE), edits.cast("array<struct<start:int,length:int,new:string>>").alias("edits"))
+    need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), edits.cast(_EDITS).alias("edits"))
     return need.mapInArrow(run, EDITED)

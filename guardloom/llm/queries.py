@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from guardloom.llm.ann import nearest
 from guardloom.llm.chat import format_chats
 from guardloom.llm.common import table
-from guardloom.llm.counting import apply_edits, count_tokens
+from guardloom.llm.counting import count_and_edit
 from guardloom.llm.html_text import extract
 from guardloom.llm.mixing import plan_mix
 from guardloom.llm.oracle import SQL
@@ -50,11 +50,11 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts after two edits to each document: an insertion at a place that its id
     gives, then a replacement of up to nine characters at another."""
-    counted = count_tokens(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     place = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.length("text") + 1).cast("int") for i in (1, 2)]
     spans = ((place[0], F.lit(0), F.lit(" inserted, it's new")), (place[1], F.lit(9), F.lit("re ")))
     edits = F.array(*[F.struct(a.alias("start"), n.alias("length"), w.alias("new")) for a, n, w in spans])
-    return apply_edits(counted, edits).select("doc_id", "n_tokens", "n_pretokens", "encoded_chars")
+    return count_and_edit(docs, edits).select("doc_id", "n_tokens", "n_pretokens", "encoded_chars")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,13 @@ def test_edits_touch_little(spark):
     assert got[1]["encoded_chars"] < 2000 and got[1]["text"] == text[:1000] + "new" + text[1003:]
     assert got[2]["text"] == "new" and got[2]["n_tokens"] == 1 and sum(got[1]["leaf_tokens"]) == got[1]["n_tokens"]
     assert counting.count_tokens(frame.limit(0)).count() == 0
+    at_once = {r["doc_id"]: r for r in counting.count_and_edit(frame, edits).collect()}
+    assert at_once == got
+    # edits of edited rows
+    again = {r["doc_id"]: r for r in counting.apply_edits(counting.apply_edits(counted, edits), F.array(F.struct(F.lit(900).alias("start"), F.lit(400).alias("length"), F.lit(" x").alias("new")))).collect()}
+    pre = counting.PreTokens(counting.default_ranks(), counting.default_pattern())
+    for r in again.values():
+        assert (r["n_tokens"], r["n_pretokens"]) == tuple(counting.build(r["text"], pre).total[1:].tolist())
 
 
 # HTML
