@@ -33,7 +33,7 @@ FROM passes
 
 _CHAT = r"""
 WITH numbered AS (
-  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(md5(text), '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 coded AS (
   SELECT *, coalesce(length(role)::VARCHAR, 'n') || ':' || coalesce(role, '') || coalesce(length(text)::VARCHAR, 'n') || ':' || coalesce(text, '') AS code,
