@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from guardloom.functions import scoring as S
 from guardloom.functions.dialect import PLAIN_FLAGS, java
 from guardloom.functions.rules import PARAMETERS, TAINT_SOURCES, TOOL_SINKS
-from guardloom.sources.shared import discard, settle
+from guardloom.sources.shared import settle
 
 MOST_ENTRIES = 1000
 SINK_OF = {tool: sink for sink, tools in TOOL_SINKS.items() for tool in tools}
@@ -60,33 +60,30 @@ def propagate(entries: DataFrame, edges: DataFrame) -> DataFrame:
     neither do cycles.  Repeated entries derive as often.  Null ids are not followed; a null
     surface counts as empty.
 
-    Chains have any length: each id points to the one above it, and each round takes all
-    pointers twice as far, so a chain of n steps needs about log2(n) joins.  Rounds are
-    written to the shared folder; they end when none gets any further.
+    Chains have any length: each id points to the one above it, and each round takes the
+    pointers that have not come to a chain's start twice as far, so a chain of n steps needs
+    about log2(n) joins.  Rounds are written to the shared folder; they end when none gets there any more.
     """
     roots = entries.select("taint_id", "content_hash", "source", "path")
     surface = F.coalesce("next_surface", F.lit("")).alias("next_surface")
     known = edges.where("parent_id IS NOT NULL AND child_id IS NOT NULL").select("child_id", "parent_id", surface)
     first = known.groupBy("child_id").agg(F.min(F.struct("parent_id", "next_surface")).alias("edge"))
     first = first.join(roots.select(F.col("taint_id").alias("child_id")), "child_id", "left_anti")
-    now = settle(first.select("child_id", F.col("edge.parent_id").alias("above"), F.array("edge.next_surface").alias("steps")), "taint-edges")
-    before = now.count()
+    first = settle(first.select("child_id", F.col("edge.parent_id").alias("above"), F.array("edge.next_surface").alias("steps")), "taint-edges")
+    children = first.select(F.col("child_id").alias("above"))
+    done, ahead = first.join(children, "above", "left_anti").select(*first.columns), first.join(children, "above", "left_semi").select(*first.columns)
+    before = ahead.count()
     while before:
-        jump = now.select(F.col("child_id").alias("j_id"), F.col("above").alias("j_above"), F.col("steps").alias("j_steps"))
-        moved = now.join(jump, F.col("above") == F.col("j_id"), "left").select(
-            "child_id",
-            F.coalesce("j_above", "above").alias("above"),
-            F.when(F.col("j_id").isNotNull(), F.concat("j_steps", "steps")).otherwise(F.col("steps")).alias("steps"),
-            F.col("j_id").isNotNull().alias("moved"),
-        )
-        after = settle(moved, "taint-edges")
-        n = after.where("moved").count()
-        discard(now)
-        now = after.drop("moved")
-        if n == before:  # what still moves goes in circles
+        jump = done.withColumn("there", F.lit(True)).unionByName(ahead.withColumn("there", F.lit(False)))
+        jump = jump.select(F.col("child_id").alias("j_id"), F.col("above").alias("j_above"), F.col("steps").alias("j_steps"), "there")
+        moved = ahead.join(jump, F.col("above") == F.col("j_id"))
+        moved = settle(moved.select("child_id", F.col("j_above").alias("above"), F.concat("j_steps", "steps").alias("steps"), "there"), "taint-edges")
+        done, ahead = done.unionByName(moved.where("there").drop("there")), moved.where("NOT there").drop("there")
+        n = ahead.count()
+        if n == before:  # what is left goes in circles
             break
         before = n
-    reached = now.join(roots, now["above"] == roots["taint_id"])
+    reached = done.join(roots, done["above"] == roots["taint_id"])
     derived = reached.select(
         F.col("child_id").alias("taint_id"),
         F.aggregate("steps", F.col("content_hash"), lambda h, s: short_hash(F.concat(h, s))).alias("content_hash"),

@@ -28,18 +28,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, which cuts its lineage."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _path(df.sparkSession, path)[1].deleteOnExit(_path(df.sparkSession, path)[0])
+    context = df.sparkSession.sparkContext
+    written = context._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(written)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that settle() wrote and nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path, system = _path(df.sparkSession, folder)
-        system.delete(path, True)
-
-
-def _path(spark: SparkSession, path: str):
-    context = spark.sparkContext
-    found = context._jvm.org.apache.hadoop.fs.Path(path)
-    return found, found.getFileSystem(context._jsc.hadoopConfiguration())
