@@ -91,7 +91,9 @@ def test_a_judge_that_fails_changes_nothing(spark):
     got = judge.merge(checked, judge.judge_with(checked, "id", "text", client, judge.inbound_message()), "id").first()
     assert not got["judge_used"] and got["risk_score"] == 0.55 and got["threat_level"] == "medium"
     told = checked.select(judge.inbound_message().alias("m")).first()["m"]
-    assert "SSRF-002" in told and "risk_score=0.55" in told and told.endswith("---\nlocalhost\n---")
+    assert "SSRF-002" in told and "0.55 of 1" in told and told.endswith("<<<\nlocalhost\n>>>")
+    for message in (judge.outbound_message(), judge.rewrite_message()):
+        assert "Names that must not go out: none" in checked.select(message.alias("m")).first()["m"]
 
 
 def test_rewrites(spark):
