@@ -50,6 +50,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.escape("".join(LOOKALIKES))
 #: whole runs that mix letters and such marks
 _LEET = re.compile(rf"(?<![\w{_MARKS}])(?=[{_MARKS}]*+[^\W\d_])(?=[^\W{_MARKS}]*+[{_MARKS}])[\w{_MARKS}]++")
+_MARK = re.compile(rf"[{_MARKS}]+")
+_RUN = re.compile(rf"[\w{_MARKS}]*+")
+_LEAD = re.compile(rf"[{_MARKS}]*+[^\W\d_]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _SPACED = re.compile(rf"(?<![\w{_MARKS}])(?:[^\W_]|[@$!])(?:[ .\-_*][^\W\d_0]|[ .\-_*][0-9@$!](?=[ .\-_*])){{2,}}(?![\w])")
@@ -128,12 +131,12 @@ def decode(raw: str, model: CharModel, cache: dict[str, str]) -> str:
     return best
 
 
-def _drawn_words(text: str) -> list[tuple[int, int]]:
-    """Where words with a letter three times or more in a row stand."""
+def _drawn_words(text: str, points: np.ndarray) -> list[tuple[int, int]]:
+    """Where words with a letter three times or more in a row stand; ``points`` are the code points."""
     out, end = [], 0
-    for m in _TRIPLE.finditer(text):
-        if m.start() >= end:
-            first, end = m.start(), m.end()
+    for i in np.flatnonzero((points[:-2] == points[1:-1]) & (points[1:-1] == points[2:])).tolist():
+        if i >= end and _TRIPLE.match(text, i):
+            first, end = i, i + 3
             while first and text[first - 1].isalpha():
                 first -= 1
             while end < len(text) and text[end].isalpha():
@@ -142,11 +145,38 @@ def _drawn_words(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _mixed_words(text: str) -> list[tuple[int, int]]:
+    """The spans of _LEET: around each sign, as most texts have few."""
+    out, end = [], 0
+    for m in _MARK.finditer(text):
+        if m.start() >= end:
+            first, end = m.start(), _RUN.match(text, m.end()).end()
+            while first and (text[first - 1].isalnum() or text[first - 1] == "_"):
+                first -= 1
+            if _LEAD.match(text, first):
+                out.append((first, end))
+    return out
+
+
+_GAP = np.zeros(128, dtype=bool)
+_GAP[[ord(c) for c in " .-_*"]] = True
+_PLAIN_LETTER = np.array([chr(i).isalnum() for i in range(128)])
+
+
+def _may_be_spaced(points: np.ndarray) -> bool:
+    """Whether two gaps with one character between them stand behind a character that no plain letter is before."""
+    low = np.minimum(points, 127)
+    gap, letter = _GAP[low] & (points < 127), _PLAIN_LETTER[low] & (points < 127)
+    two = gap[1:-2] & ~gap[2:-1] & gap[3:]  # gaps at i + 1 and i + 3 behind a character at i
+    return bool(two.size and (two[0] or (two[1:] & ~letter[: len(two) - 1]).any()))
+
+
 def hidden(text: str) -> list[tuple[int, int, str]]:
     """(first, end, letters and signs) of what could hide a word in a small-letter text, in order:
     spaced-out letters without their gaps, mixed letters and signs, drawn-out words."""
-    found = []
-    for rank, spans in enumerate(([m.span() for m in _SPACED.finditer(text)], [m.span() for m in _LEET.finditer(text)], _drawn_words(text))):
+    found, points = [], np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    spaced = [m.span() for m in _SPACED.finditer(text)] if _may_be_spaced(points) else []
+    for rank, spans in enumerate((spaced, _mixed_words(text), _drawn_words(text, points))):
         for first, end in spans:
             raw = text[first:end] if rank else re.sub(r"[ .\-_*]", "", text[first:end])
             if any(c.isalpha() for c in raw):

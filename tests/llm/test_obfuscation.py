@@ -109,3 +109,16 @@ def test_viterbi_against_enumeration():
         best = min(map(whole, every_reading(toxicity._DRAWN.sub(r"\1\1", raw))))
         got = toxicity.decode(raw, model, {})
         assert min(whole(r) for r in every_reading(toxicity._DRAWN.sub(r"\1\1", raw)) if r[1] == got) == pytest.approx(best), raw
+
+
+def test_fast_searches_find_what_the_patterns_define():
+    import numpy as np
+
+    rng, signs = random.Random(3), "abié²_ .-*@$!|+013(#%x\n\tß日"
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        assert toxicity._mixed_words(text) == [m.span() for m in toxicity._LEET.finditer(text)], text
+        assert toxicity._may_be_spaced(points) or not toxicity._SPACED.search(text), text
+        drawn = toxicity._drawn_words(text, points)
+        assert bool(drawn) == bool(toxicity._TRIPLE.search(text)) and all(toxicity._TRIPLE.search(text[a:b]) for a, b in drawn), text
