@@ -38,6 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+    Candidates come from SimHash, as in op7, and from MinHash for pairs beyond its radius.
     Documents without words are copies of each other.  The smallest doc_id stays."""
     return keep_one_similar(docs)
 

@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-Candidates come from MinHash: BANDS keys of ROWS least hashes each; documents that share a
-key are joined to the key's smallest, and the components of that graph hold every link but
-for the chance that no key is shared: (1 - similarity ** ROWS) ** BANDS, 3e-6 at 0.8.  The
-links themselves are exact: inside a component whole shingle sets are compared, from one
+"""Near copies by SimHash, and by the Jaccard similarity of word shingles.
+
+Candidates come from SimHash first: fingerprints of the shingle sets go through op7's search
+(simhash.links), which finds all that differ in RADIUS bits or fewer.  Texts of a similarity
+of 0.8 differ in about ten bits, so what lies beyond the radius comes from MinHash: BANDS
+keys of ROWS least hashes each; documents that share a key are joined to the key's smallest.
+The components of both hold every link but for the chance that a pair beyond the radius
+shares no key either: (1 - similarity ** ROWS) ** BANDS, 3e-6 at 0.8.  The links themselves are exact: inside a component whole shingle sets are compared, from one
 member to the next, without a list of all pairs.  Equal shingle sets are one row.
 Components beyond ``chunk`` members are compared chunk against chunk in tasks of their own.
 """
@@ -18,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardloom.llm import simhash
 from guardloom.llm.common import lean, materialise
 from guardloom.llm.components import connected_components
-from guardloom.llm.simhash import _LOWER, SEED, first_rows, one_of_each, row_keys
+from guardloom.llm.simhash import _LOWER, RADIUS, SEED, first_rows, majority, one_of_each, row_keys
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -60,24 +63,25 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, k1, k2, fp (id of the shingle set), bands."""
+    """doc_id, k1, k2, fp (id of the shingle set), print (its SimHash), bands."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, bands = [], []
+            fps, prints, bands = [], [], []
             for x in batch.column("text"):
                 hashes = shingles(x.as_py(), shingle_words)
                 fps.append(set_id(hashes))
+                prints.append(majority(hashes))
                 bands.append(band_keys(hashes).view(np.int64))
             keys = np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), fp, listed], ["doc_id", "k1", "k2", "fp", "bands"])
+            fp, marks = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fps, prints))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), fp, marks, listed], ["doc_id", "k1", "k2", "fp", "print", "bands"])
 
     k1, k2 = row_keys()
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
-    return need.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, bands array<long>")
+    return need.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, print long, bands array<long>")
 
 
 def similar_edges(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -130,12 +134,27 @@ def _group_edges(similarity: float, shingle_words: int):
     return run
 
 
-def candidates(fps: DataFrame) -> DataFrame:
-    """Distinct (fp, bands) -> (node, root): components of documents that share a key."""
+def print_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct (fp, print) -> edges (u, v) that join all whose prints differ in ``radius`` bits or fewer."""
+    least = materialise(fps.groupBy("print").agg(F.min("fp").alias("least")), "similar-prints")
+    equal = fps.join(least, "print").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    near = simhash.links(least.select(F.col("print").alias("fp")), radius)
+    for end in ("u", "v"):
+        near = near.join(least.toDF(end, f"least_{end}"), end)
+    return equal.union(near.select("least_u", "least_v"))
+
+
+def band_edges(fps: DataFrame) -> DataFrame:
+    """Distinct (fp, bands) -> edges (u, v) that join all that share a key."""
     keyed = fps.select("fp", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
     edges = keyed.join(shared.select("band", "least"), "band").where("fp <> least")
-    return connected_components(edges.select(F.col("fp").alias("u"), F.col("least").alias("v")))
+    return edges.select(F.col("fp").alias("u"), F.col("least").alias("v"))
+
+
+def candidates(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct (fp, print, bands) -> (node, root): components of documents whose prints are near or that share a key."""
+    return connected_components(print_edges(fps.select("fp", "print"), radius).union(band_edges(fps)))
 
 
 def links(texts: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS, chunk: int = CHUNK) -> DataFrame:
@@ -157,12 +176,12 @@ def keep_one_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle_wo
     words, and null ones, are copies of each other; a text of fewer words is one shingle.  Kept is
     the smallest doc_id, as in simhash.keep_one(), and what else is said there holds here.
 
-    Texts are read three times, and sketched once: for the sketches, for those that share a
-    key with others, and for the rows that stay; in between only ids and hashes move.
+    Texts are read three times, and sketched once: for the sketches, for those whose
+    fingerprint is near another or that share a key, and for the rows that stay; in between only ids and hashes move.
     """
     marked = materialise(_sketches(docs, shingle_words), "similar-sketches")
-    first = materialise(first_rows(marked, F.any_value("bands").alias("bands")), "similar-first")
-    groups = materialise(candidates(first.select("fp", "bands")), "similar-groups")
+    first = materialise(first_rows(marked, *(F.any_value(c).alias(c) for c in ("print", "bands"))), "similar-first")
+    groups = materialise(candidates(first.select("fp", "print", "bands")), "similar-groups")
     shown = first.join(groups.select(F.col("node").alias("fp")), "fp").select("fp", F.col("place.k1").alias("k1"), F.col("place.k2").alias("k2"))
     shown = materialise(shown, "similar-keys")  # of known size: few keys go to the texts, not the texts to the keys
     k1, k2 = row_keys()

@@ -44,13 +44,16 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     if not words:
         return 0
     grams = [b" ".join(words)] if len(words) < shingle_words else list(map(b" ".join, zip(*(words[i:] for i in range(shingle_words)))))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8", count=len(grams)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of 64-bit hashes."""
     counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(grams), 65536):
-        part = grams[i : i + 65536]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED)), dtype="<u8", count=len(part))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i in range(0, len(hashes), 65536):
+        bits = np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(grams), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
